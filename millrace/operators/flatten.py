@@ -13,6 +13,8 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.errors import PythonException
@@ -127,9 +129,9 @@ class FlattenDocument:
         fields = "section string, column string, path string, kind string"
         schema = T.StructType(
             [
-                *T._parse_datatype_string(fields).fields,
+                *T.StructType.fromDDL(fields).fields,
                 *[df.schema[c] for c in order],
-                *T._parse_datatype_string("record long, row long, rank long").fields,
+                *T.StructType.fromDDL("record long, row long, rank long").fields,
             ]
         )
         found = df.mapInArrow(_surveyor(self, path, schema), schema)
@@ -260,16 +262,19 @@ def _shape(rows: list, explode: bool) -> Shape:
     column_paths: dict[str, list[Path]] = {}
     targets: set[str] = set()
     ghosts: list[tuple[Path, str]] = []
-    sequences: list[list[Path]] = []
+    orders: dict[Path, list[list[str]]] = {}
+    value_kinds: dict[Path, set[str]] = {}
     irregular = False
-    for row in rows:
+    # Containers first: the children of a node follow the order of its keys.
+    for row in sorted(rows, key=lambda r: r["section"] != "container"):
         section, kind = row["section"], row["kind"]
         if section == "target":
             targets.add(kind)
         elif section == "irregular":
             irregular = True
-        elif section == "arrays":
-            sequences.append([tuple(p) for p in json.loads(row["path"])])
+        elif section == "order":
+            path, keys = json.loads(row["path"])
+            orders.setdefault(tuple(path), []).append(keys)
         else:
             path: Path = tuple(json.loads(row["path"]))
             if section == "ghost":
@@ -281,6 +286,7 @@ def _shape(rows: list, explode: bool) -> Shape:
             node.kinds.add(kind)
             if section == "column":
                 column_kinds.setdefault(row["column"], set()).add(kind)
+                value_kinds.setdefault(path, set()).add(kind)
                 paths = column_paths.setdefault(row["column"], [])
                 if path not in paths:
                     paths.append(path)
@@ -295,17 +301,14 @@ def _shape(rows: list, explode: bool) -> Shape:
     typed = not irregular and len(targets) <= 1 and not _mixed(root)
     paths: dict[str, Path] = {}
     for name, candidates in column_paths.items():
-        valued = [p for p in candidates if find(p).kinds - {"null"}] or candidates[:1]
+        valued = [p for p in candidates if value_kinds[p] - {"null"}] or candidates[:1]
         typed = typed and len(valued) == 1
         paths[name] = valued[0]
     for path, kind in ghosts:
-        node = find(path)
-        live = node.kinds if node else set()
-        typed = typed and (kind == "null" or not live - {"null"} or kind in live)
-    rank = {path: i for i, path in enumerate(_array_paths(root))}
-    for sequence in sequences:
-        places = [rank[p] for p in sequence]
-        typed = typed and places == sorted(places)
+        live = value_kinds.get(path, set()) - {"null"}
+        typed = typed and (kind == "null" or not live or kind in live)
+    for path, sequences in orders.items():
+        typed = typed and _arrange(find(path), sequences)
     return Shape(columns, paths, root, "array" if targets == {"array"} else "object", typed)
 
 
@@ -314,12 +317,19 @@ def _mixed(node: Node) -> bool:
     return len(kinds) > 1 or any(_mixed(child) for child in node.children.values())
 
 
-def _array_paths(node: Node, path: Path = ()) -> Iterator[Path]:
-    for key, child in node.children.items():
-        here = (*path, key)
-        if "array" in child.kinds:
-            yield here
-        yield from _array_paths(child, here)
+def _arrange(node: Node, sequences: list[list[str]]) -> bool:
+    """Order the children of a node as all its objects do; False if they disagree."""
+    before: dict[str, set[str]] = {key: set() for keys in sequences for key in keys}
+    for keys in sequences:
+        for earlier, later in pairwise(keys):
+            before[later].add(earlier)
+    try:
+        arranged = list(TopologicalSorter(before).static_order())
+    except CycleError:
+        return False
+    rest = [key for key in node.children if key not in before]
+    node.children = {key: node.children[key] for key in [*arranged, *rest]}
+    return True
 
 
 def _sortable(value):
@@ -338,14 +348,19 @@ def _collected(df: DataFrame) -> list:
 
 
 def _surveyor(config: FlattenDocument, path: tuple[str, ...], schema: T.StructType):
-    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType, timezone="UTC")) for f in schema])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
     explode, separator = config.explode, config.separator
     order = schema.names[4:-3]
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         survey = RecordSurvey(explode, separator)
-        first: dict[tuple[str, Path, str], tuple] = {}
+        first: dict[tuple[str | None, Path, str], tuple] = {}
         targets: set[str] = set()
+
+        def note(key: tuple[str | None, Path, str], position: tuple) -> None:
+            if key not in first or position < first[key]:
+                first[key] = position
+
         for batch in batches:
             keys = [batch.column(c).to_pylist() for c in order]
             for i, body in enumerate(batch.column("body").to_pylist()):
@@ -356,19 +371,18 @@ def _surveyor(config: FlattenDocument, path: tuple[str, ...], schema: T.StructTy
                 targets.add(target)
                 for number, record in enumerate(records):
                     for row, rank, *entry in survey.survey(record):
-                        position = (place, number, min(row, ROW_LIMIT), rank)
-                        key = tuple(entry)
-                        if key not in first or position < first[key]:
-                            first[key] = position
+                        note(tuple(entry), (place, number, min(row, ROW_LIMIT), rank))
+                    for rank, (where, kind) in enumerate(survey.containers):
+                        note((None, where, kind), (place, number, 0, rank))
         none = [None] * len(order) + [0, 0, 0]
         facts = [("target", None, None, t, *none) for t in targets]
-        facts += [("structure", None, json.dumps(p), k, *none) for p, k in survey.structure]
         facts += [("ghost", None, json.dumps(p), k, *none) for p, k in survey.ghosts]
-        facts += [("arrays", None, json.dumps(s), None, *none) for s in survey.arrays]
+        facts += [("order", None, json.dumps(o), None, *none) for o in survey.orders]
         if survey.irregular:
             facts.append(("irregular", None, None, None, *none))
         for (column, p, kind), (place, *rest) in first.items():
-            facts.append(("column", column, json.dumps(p), kind, *[v for _, v in place], *rest))
+            section = "container" if column is None else "column"
+            facts.append((section, column, json.dumps(p), kind, *[v for _, v in place], *rest))
         for start in range(0, len(facts), BATCH_ROWS):
             part = list(zip(*facts[start : start + BATCH_ROWS]))
             arrays = [pa.array(v, type=f.type) for v, f in zip(part, arrow)]
@@ -378,7 +392,7 @@ def _surveyor(config: FlattenDocument, path: tuple[str, ...], schema: T.StructTy
 
 
 def _flattener(config: FlattenDocument, path: tuple[str, ...], columns, schema: T.StructType):
-    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType, timezone="UTC")) for f in schema])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
     explode, separator = config.explode, config.separator
     names = [name for name, _ in columns]
     floats = {name for name, data_type in columns if isinstance(data_type, T.DoubleType)}
