@@ -130,7 +130,7 @@ class FlattenDocument:
         schema = T.StructType(
             [
                 *T.StructType.fromDDL(fields).fields,
-                *[df.schema[c] for c in order],
+                *[T.StructField(c, df.schema[c].dataType) for c in order],
                 *T.StructType.fromDDL("record long, row long, rank long").fields,
             ]
         )
@@ -180,7 +180,7 @@ class FlattenDocument:
         schema = T.StructType(
             [
                 *[T.StructField(name, data_type) for name, data_type in shape.columns],
-                *[df.schema[c] for c in order],
+                *[T.StructField(c, df.schema[c].dataType) for c in order],
                 *[T.StructField(c, T.LongType()) for c in extra],
             ]
         )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import check_value, column_name, name_list, option, scalar, whole_number
 from ..errors import ConfigError, SchemaError
+from ..functions.positions import leading
 from ..functions.typed import Scalar, fitting_literal
 from ..table import HIDDEN, OrderKey, Table, col, next_hidden, require_columns
 
@@ -132,14 +133,22 @@ class SortRows:
 
 @dataclass(frozen=True)
 class LimitRows:
-    """The first `count` rows in row order."""
+    """The first `count` rows in row order.
+
+    Spark brings the rows of a limit together in one task.  That is a top-k for the
+    usual counts; beyond `one_task` rows the table is sorted in parallel, written
+    once, and cut by row position.
+    """
 
     count: int = option("number")
+    one_task: int = 1_000_000
 
     def __post_init__(self) -> None:
         whole_number(self.count, "count", 0)
 
     def __call__(self, table: Table) -> Table:
+        if self.count > self.one_task and table.order:
+            return leading(table, int(self.count))
         rows = table.df
         if table.order:
             rows = rows.orderBy(*[k.ascending_column() for k in table.order])

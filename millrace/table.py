@@ -54,8 +54,9 @@ def next_hidden(columns: Iterable[str]) -> int:
 class Table:
     """A lazy flat table with a row order.
 
-    `shuffled` says that the physical order may differ from the logical one, so a
-    sink that keeps the order has to sort.
+    `shuffled` says that an operator or the caller gave the rows an order other than
+    the physical one, so a sink that keeps the order has to sort.  The rows of a file
+    source are written as they are read: in order within each split of a file.
     """
 
     df: DataFrame
@@ -103,7 +104,11 @@ class Table:
 
     def ordered_frame(self) -> DataFrame:
         """The visible columns, physically in row order."""
-        if not (self.shuffled and self.order):
+        return self.sorted_frame() if self.shuffled else self.frame()
+
+    def sorted_frame(self) -> DataFrame:
+        """The visible columns, sorted by the row order."""
+        if not self.order:
             return self.frame()
         ordered = self.df.orderBy(*[k.ascending_column() for k in self.order])
         return ordered.select(*[col(c) for c in self.columns])

@@ -1,9 +1,15 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
 from millrace import prepare
 
 
+# Lets the Python workers import the doubles of the test modules.
+os.environ["PYTHONPATH"] = os.path.dirname(os.path.abspath(__file__))
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
