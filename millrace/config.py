@@ -29,7 +29,7 @@ def option(
     metadata = {"kind": kind, "key": key, "choices": choices, "secret": secret}
     if isinstance(default, list | dict):
         return field(default_factory=lambda: type(default)(default), metadata=metadata)
-    return field(default=default, metadata=metadata)
+    return field(default=default, metadata=metadata, repr=not secret)
 
 
 def build(cls: type[C], values: Mapping[str, Any], secrets: Mapping[str, str] | None = None) -> C:

@@ -32,7 +32,10 @@ METRIC_LIMIT = 2**31
 
 
 def _due(df: DataFrame, now: datetime) -> DataFrame:
-    return df.where(F.col("expires_at") <= F.lit(now))
+    """Rows past their expiry; a moment without zone is UTC, like the session."""
+    moment = now if now.tzinfo is not None else now.replace(tzinfo=UTC)
+    limit = F.lit(moment).cast(df.schema["expires_at"].dataType)
+    return df.where(F.col("expires_at") <= limit)
 
 
 def _oldest(df: DataFrame, limit: int | None) -> DataFrame:
@@ -133,7 +136,3 @@ def checked_metrics(metrics: dict[str, int | None]) -> dict[str, int | None]:
         if isinstance(value, bool) or not isinstance(value, int) or not 0 <= value < METRIC_LIMIT:
             raise ValueError(f"{name} must be a non-negative integer.")
     return {name: metrics.get(name) for name in METRICS}
-
-
-def now_utc() -> datetime:
-    return datetime.now(UTC)

@@ -10,13 +10,14 @@ from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import build
 from ..errors import ConfigError
 from ..history import METRICS, checked_metrics
 from ..session import scratch_path
+from ..operators.rows import LimitRows
 from ..sinks.artifacts import Artifact, ArtifactStore
 from ..sinks.datasets import Lifecycle, append_row
 from ..sinks.relational import RelationalSink, Target
@@ -37,8 +38,9 @@ class Context:
     """What the steps of a run need besides their configuration.
 
     `input_root` and `output_root` are folders every executor reaches.  `measure`
-    is `sink` for the rows written, or `all` for the rows of every step; counting
-    between steps keeps Catalyst from moving filters across the counted place.
+    is `sink` for the rows written, or `all` for the rows of every step.  Counting
+    between steps keeps Catalyst from moving filters across the counted place, and
+    writes the table once more before it is sorted.
     """
 
     spark: SparkSession
@@ -169,17 +171,19 @@ class Pipeline:
     ) -> Table:
         table: Any = loaded
         for step in self.steps[:-1]:
+            if context.measure == "all" and isinstance(step.operator, LimitRows):
+                table = _stored(table)
             if step.component.kind == "transform":
-                table = table.apply(step.operator) if isinstance(table, Table) else step.operator(table)
+                table = step.operator(table)
             if context.measure == "all" and isinstance(table, Table):
-                table = _observed(table, step.name, observed)
-        return table
+                table = replace(table, df=_counter(step.name, observed)(table.df))
+        return _stored(table) if context.measure == "all" else table
 
     def _deliver(
         self, context: Context, table: Table, run_id: str, observed: dict[str, Observation]
     ) -> Artifact | None:
         step = self.steps[-1]
-        table = _observed(table, step.name, observed)
+        table = replace(table, observe=_counter(step.name, observed))
         if isinstance(step.operator, RelationalSink):
             step.operator.write(table, run_id, context.target)
             return None
@@ -240,7 +244,20 @@ def _page_candidate(pages: Any) -> dict[str, Any] | None:
     return {"pageToken": last["pageToken"], "value": json.loads(last["value"])}
 
 
-def _observed(table: Table, name: str, observed: dict[str, Observation]) -> Table:
-    observed[name] = Observation(f"{name}:{uuid.uuid4().hex}")
-    rows = F.count(F.lit(1)).alias("rows")
-    return replace(table, df=table.df.observe(observed[name], rows))
+def _counter(
+    name: str, observed: dict[str, Observation]
+) -> Callable[[DataFrame], DataFrame]:
+    """Counts the rows that pass, as a side result of the job that reads them."""
+
+    def count(df: DataFrame) -> DataFrame:
+        observed[name] = Observation(f"{name}:{uuid.uuid4().hex}")
+        return df.observe(observed[name], F.count(F.lit(1)).alias("rows"))
+
+    return count
+
+
+def _stored(table: Table) -> Table:
+    """The table read back from the shared folder, so that its plan runs only once."""
+    path = scratch_path(table.df.sparkSession, "step")
+    table.df.write.parquet(path)
+    return replace(table, df=table.df.sparkSession.read.parquet(path))

@@ -55,11 +55,25 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="millrace-")
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        if getattr(context, "_millrace_folder", None) is None:
+            context._millrace_folder = tempfile.mkdtemp(prefix="millrace-")
+        return context._millrace_folder
     raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one intermediate table."""
-    return f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables; frames that read them are void afterwards."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

@@ -200,7 +200,7 @@ class FolderTarget:
         keys = list(self.keys[relation])
         require_columns(table.columns, keys)
         present = spark.read.parquet(path) if storage.exists(spark, path) else None
-        new_rows(table, keys, present).write.mode("append").parquet(path)
+        table.observed(new_rows(table, keys, present)).write.mode("append").parquet(path)
 
 
 def new_rows(table: Table, keys: Sequence[str], present: DataFrame | None) -> DataFrame:

@@ -57,11 +57,14 @@ class Table:
     `shuffled` says that an operator or the caller gave the rows an order other than
     the physical one, so a sink that keeps the order has to sort.  The rows of a file
     source are written as they are read: in order within each split of a file.
+    `observe` is put on top of the frame a sink writes, above any sort: a sort reads
+    its input once more to find its ranges, and would count it twice.
     """
 
     df: DataFrame
     order: tuple[OrderKey, ...] = ()
     shuffled: bool = False
+    observe: Callable[[DataFrame], DataFrame] | None = None
 
     @classmethod
     def of(cls, df: DataFrame, order_by: Sequence[str] = ()) -> "Table":
@@ -100,7 +103,10 @@ class Table:
 
     def frame(self) -> DataFrame:
         """The visible columns, in no particular order."""
-        return self.df.select(*[col(c) for c in self.columns])
+        return self.observed(self.df.select(*[col(c) for c in self.columns]))
+
+    def observed(self, df: DataFrame) -> DataFrame:
+        return self.observe(df) if self.observe is not None else df
 
     def ordered_frame(self) -> DataFrame:
         """The visible columns, physically in row order."""
@@ -111,7 +117,7 @@ class Table:
         if not self.order:
             return self.frame()
         ordered = self.df.orderBy(*[k.ascending_column() for k in self.order])
-        return ordered.select(*[col(c) for c in self.columns])
+        return self.observed(ordered.select(*[col(c) for c in self.columns]))
 
 
 @dataclass(frozen=True)
