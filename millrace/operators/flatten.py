@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from itertools import pairwise
+from typing import Any
 
 import pyarrow as pa
 from pyspark.errors import PythonException
@@ -32,6 +33,7 @@ from ..functions.shapes import (
     parse_document,
     record_rows,
     records_of,
+    signature,
 )
 from ..table import HIDDEN, Documents, OrderKey, Table, col
 
@@ -41,6 +43,9 @@ MODES = ("json", "explode")
 MAX_PATHS = 100_000
 BATCH_ROWS = 4096
 
+# Outlines of records held before they are surveyed.
+MAX_OUTLINES = 10_000
+
 SCALARS = {
     "boolean": T.BooleanType(),
     "integer": T.LongType(),
@@ -357,23 +362,37 @@ def _surveyor(config: FlattenDocument, path: tuple[str, ...], schema: T.StructTy
         first: dict[tuple[str | None, Path, str], tuple] = {}
         targets: set[str] = set()
 
+        # The earliest record of each outline; only these are surveyed.
+        outlines: dict[Any, tuple[tuple, dict]] = {}
+
         def note(key: tuple[str | None, Path, str], position: tuple) -> None:
             if key not in first or position < first[key]:
                 first[key] = position
 
+        def survey_outlines() -> None:
+            for (place, number), record in outlines.values():
+                for row, rank, *entry in survey.survey(record):
+                    note(tuple(entry), (place, number, min(row, ROW_LIMIT), rank))
+                for rank, (where, kind) in enumerate(survey.containers):
+                    note((None, where, kind), (place, number, 0, rank))
+            outlines.clear()
+
         for batch in batches:
             keys = [batch.column(c).to_pylist() for c in order]
             for i, body in enumerate(batch.column("body").to_pylist()):
                 if body is None:
                     raise DataError("A document is not valid JSON.")
-                place = tuple((k[i] is not None, k[i]) for k in keys)
+                place = tuple([(k[i] is not None, k[i]) for k in keys])
                 target, records = records_of(parse_document(body), path)
                 targets.add(target)
                 for number, record in enumerate(records):
-                    for row, rank, *entry in survey.survey(record):
-                        note(tuple(entry), (place, number, min(row, ROW_LIMIT), rank))
-                    for rank, (where, kind) in enumerate(survey.containers):
-                        note((None, where, kind), (place, number, 0, rank))
+                    outline = signature(record, explode)
+                    known = outlines.get(outline)
+                    if known is None or (place, number) < known[0]:
+                        outlines[outline] = ((place, number), record)
+                if len(outlines) > MAX_OUTLINES:
+                    survey_outlines()
+        survey_outlines()
         none = [None] * len(order) + [0, 0, 0]
         facts = [("target", None, None, t, *none) for t in targets]
         facts += [("ghost", None, json.dumps(p), k, *none) for p, k in survey.ghosts]
