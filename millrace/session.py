@@ -15,6 +15,9 @@ SETTINGS = {
     # Column names are data here: `Id` and `id` are two columns.
     "spark.sql.caseSensitive": "true",
     "spark.sql.ansi.enabled": "true",
+    # Joins by run or owner may meet a hot key; adaptive execution splits it.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
