@@ -295,6 +295,8 @@ def _shape(rows: list, explode: bool) -> Shape:
                 paths = column_paths.setdefault(row["column"], [])
                 if path not in paths:
                     paths.append(path)
+    if any(name.startswith(HIDDEN) for name in column_kinds):
+        raise SchemaError(f"Document keys must not start with {HIDDEN}.")
     columns = tuple((name, _merged(kinds)) for name, kinds in column_kinds.items())
 
     def find(path: Path) -> Node | None:

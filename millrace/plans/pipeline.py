@@ -13,13 +13,14 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import build
+from ..config import build, under_root
 from ..errors import ConfigError
-from ..history import METRICS, checked_metrics
+from ..history import METRIC_LIMIT, METRICS, checked_metrics
 from ..session import scratch_path
 from ..operators.rows import LimitRows
+from ..sinks import storage
 from ..sinks.artifacts import Artifact, ArtifactStore
-from ..sinks.datasets import Lifecycle, append_row
+from ..sinks.datasets import Lifecycle, append_row, append_rows
 from ..sinks.relational import RelationalSink, Target
 from ..sources.pages import PagedSource, Transport
 from ..sources.relational import Database, RelationalSource
@@ -108,8 +109,11 @@ class Pipeline:
         loaded = self._load(context, None)[0]
         return self._transformed(context, loaded, {})
 
-    def run(self, context: Context, run_id: str | None = None) -> RunResult:
-        """Deliver the table, record the run, then commit the source checkpoint."""
+    def run(self, context: Context, run_id: str | None = None, attempt: int = 0) -> RunResult:
+        """Deliver the table, record the run, then commit the source checkpoint.
+
+        `attempt` numbers the repetitions of a run that the caller retries.
+        """
         run_id = run_id or uuid.uuid4().hex
         source = self.steps[0]
         observed: dict[str, Observation] = {}
@@ -139,10 +143,11 @@ class Pipeline:
                 raise
             record_run("succeeded")
         duration = int((time.monotonic() - started) * 1000)
-        metrics = self._metrics(observed, delivered.get("artifact"), duration)
-        for step, values in metrics.items():
-            self._record_event(context, run_id, step, values)
-        return RunResult(run_id, delivered.get("artifact"), candidate, metrics)
+        artifact = delivered.get("artifact")
+        metrics = self._metrics(context, observed, artifact)
+        metrics[self.steps[-1].name] |= {"duration_ms": duration, "retry_attempt": attempt}
+        self._record_events(context, run_id, metrics)
+        return RunResult(run_id, artifact, candidate, metrics)
 
     def _load(self, context: Context, checkpoint: Any) -> tuple[Table | Documents, Any]:
         """The source, and the checkpoint candidate of an incremental one.
@@ -191,31 +196,39 @@ class Pipeline:
         return store.publish(table, step.operator, Lifecycle(context.pipeline_id, run_id))
 
     def _metrics(
-        self, observed: dict[str, Observation], artifact: Artifact | None, duration: int
+        self, context: Context, observed: dict[str, Observation], artifact: Artifact | None
     ) -> dict[str, dict[str, int | None]]:
-        metrics = {}
+        """The counters of every step; those nobody counted are left out."""
+        metrics: dict[str, dict[str, int | None]] = {}
         before: int | None = None
         for step in self.steps:
-            if step.name not in observed:
-                continue
-            rows = observed[step.name].get["rows"]
-            values = {"records_read": before, "records_written": rows}
-            if step is self.steps[-1]:
-                values |= {"records_read": rows, "duration_ms": duration}
-                values["bytes_written"] = artifact.size_bytes if artifact else None
-            metrics[step.name] = {k: v for k, v in values.items() if v is not None}
+            rows = observed[step.name].get["rows"] if step.name in observed else None
+            metrics[step.name] = {"records_read": before, "records_written": rows}
             before = rows
-        return metrics
+        first, last = metrics[self.steps[0].name], metrics[self.steps[-1].name]
+        path = getattr(self.steps[0].operator, "source_path", None)
+        if path is not None:
+            place = under_root(context.input_root, path)
+            first["bytes_read"] = storage.matched_bytes(context.spark, place)
+        last["records_read"] = last["records_written"]
+        last["bytes_written"] = artifact.size_bytes if artifact else None
+        return {
+            name: {k: v for k, v in values.items() if v is not None}
+            for name, values in metrics.items()
+        }
 
     @staticmethod
-    def _record_event(
-        context: Context, run_id: str, step: str, values: dict[str, int | None]
+    def _record_events(
+        context: Context, run_id: str, metrics: dict[str, dict[str, int | None]]
     ) -> None:
-        # Counters beyond the 32 bits of the event table are left out of it.
-        fitting = {k: v for k, v in values.items() if v is not None and v < 2**31}
-        row = {"run_id": run_id, "step": step, "state": "step_succeeded"}
-        row |= {"recorded_at": datetime.now(UTC)} | checked_metrics(fitting)
-        append_row(context.spark, f"{context.output_root}/history/events", row, EVENTS)
+        """One event row per step."""
+        rows = []
+        for step, values in metrics.items():
+            # Counters beyond the 32 bits of the event table are left out of it.
+            fitting = {k: v for k, v in values.items() if v is not None and v < METRIC_LIMIT}
+            row = {"run_id": run_id, "step": step, "state": "step_succeeded"}
+            rows.append(row | {"recorded_at": datetime.now(UTC)} | checked_metrics(fitting))
+        append_rows(context.spark, f"{context.output_root}/history/events", rows, EVENTS)
 
 
 def _require_line(steps: list[Step]) -> None:

@@ -72,9 +72,13 @@ def structure_of(schema: T.StructType) -> str:
 
 def append_row(spark: SparkSession, path: str, row: dict[str, Any], schema: str) -> None:
     """Append one record to a small table."""
+    append_rows(spark, path, [row], schema)
+
+
+def append_rows(spark: SparkSession, path: str, rows: list[dict[str, Any]], schema: str) -> None:
     names = T.StructType.fromDDL(schema).names
-    record = spark.createDataFrame([tuple(row[n] for n in names)], schema)
-    record.coalesce(1).write.mode("append").parquet(path)
+    records = spark.createDataFrame([tuple(row[n] for n in names) for row in rows], schema)
+    records.coalesce(1).write.mode("append").parquet(path)
 
 
 class DatasetStore:

@@ -22,6 +22,13 @@ def size_bytes(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(location).getLength()
 
 
+def matched_bytes(spark: SparkSession, pattern: str) -> int:
+    """The size of all files and folders a path or glob names."""
+    files, location = _handle(spark, pattern)
+    found = files.globStatus(location) or []
+    return sum(files.getContentSummary(f.getPath()).getLength() for f in found)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, location = _handle(spark, path)
     files.delete(location, True)

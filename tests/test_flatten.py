@@ -127,6 +127,8 @@ def test_columns_come_in_first_seen_order_whatever_the_partitions(spark):
         ('{"a": NaN}', {}, "not valid JSON"),
         ('{"a": 1} x', {}, "not valid JSON"),
         ({"a": 2**63}, {}, "64-bit"),
+        ('{"a": 1e400}', {}, "range of a float"),
+        ('{"a": ["\x7f", [1, -1e400]]}', {}, "range of a float"),
         ('{"a": "{\\"b\\": 1}"}', {"record_path": ["a"]}, "object or an array"),
     ],
 )
@@ -135,7 +137,21 @@ def test_rejected_shapes(spark, body, settings, message):
         flat(spark, [body], **settings)
 
 
+def test_repeated_keys_keep_the_last_value(spark):
+    assert flat(spark, ['{"a":1,"b":2,"a":3}'], "typed") == (["a", "b"], [(3, 2)])
+
+
+def test_a_known_shape_spares_the_discovery(spark):
+    operator = FlattenDocument()
+    shape = operator.discover(documents(spark, [{"a": 1, "b": "x"}]))
+    table = operator(documents(spark, [{"b": "y", "c": 1}, {"a": 2}]), shape)
+    got = [tuple(r) for r in table.sorted_frame().collect()]
+    assert got == [(None, "y"), (2, None)]
+
+
 def test_configurations(spark):
+    with pytest.raises(SchemaError):
+        flat(spark, [{"__ord_0": 1}])
     for settings in ({"separator": ""}, {"separator": "x" * 9}, {"array_mode": "zip"}, {"record_path": [" "]}):
         with pytest.raises(ConfigError):
             FlattenDocument(**settings)

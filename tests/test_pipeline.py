@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -55,8 +56,12 @@ def test_csv_to_csv(spark, scratch):
     assert list(counted.values()) == [3, 3, 2, 2, 2, 2]
     states = spark.read.parquet(f"{scratch}/out/history/runs").collect()
     assert [(r.id, r.state) for r in states] == [(result.run_id, "succeeded")]
-    events = spark.read.parquet(f"{scratch}/out/history/events")
-    assert events.count() == 6
+    events = {r.step: r for r in spark.read.parquet(f"{scratch}/out/history/events").collect()}
+    assert list(result.metrics) == [s.name for s in pipeline.steps] and len(events) == 6
+    last = events["5:export.csv"]
+    assert (last.records_written, last.retry_attempt) == (2, 0) and last.bytes_written > 0
+    assert events["0:source.csv"].bytes_read == os.path.getsize(f"{scratch}/orders.csv")
+    assert events["2:transform.rows.filter"].records_read == 3
 
 
 def test_filters_reach_the_scan_of_one_plan(spark, scratch):

@@ -54,7 +54,7 @@ def event_documents(load):
     """SELECT conv_id AS "conv.id", turn // 100 AS "conv.part",
        '[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']' AS turns,
        max(n) AS n
-       FROM (SELECT *, 1.5 AS n FROM conversations) GROUP BY conv_id, turn // 100""",
+       FROM (SELECT *, 1.5::DOUBLE AS n FROM conversations) GROUP BY conv_id, turn // 100""",
 )
 def doc_flatten_json(load, spark):
     part = F.floor(F.col("turn") / TURNS).alias("part")

@@ -48,27 +48,22 @@ def snk_parquet_ordered(load, spark):
     keys = [{"column": "o_totalprice", "descending": True}]
     ParquetSink("o.parquet").write(SortRows(keys)(ordered(load("orders"), "o_orderkey")), path)
     rows = scan(spark, path)
-    part, file, row = (k.column for k in rows.order)
-    before = rows.df.select(
-        part, file, (F.col(row) + 1).alias(row), F.col("o_orderkey").alias("earlier")
-    )
-    # The first row of a file follows the last row of the one before it.
-    last = rows.df.groupBy(part, file).agg(F.max_by("o_orderkey", row).alias("last"))
-    files = last.withColumn("carried", F.lag("last").over(_file_window(part, file))).drop("last")
+    part, _, row = (k.column for k in rows.order)
+    before = rows.df.select(part, (F.col(row) + 1).alias(row), F.col("o_orderkey").alias("earlier"))
+    # The first row of a file follows the last row of the one before it: one number
+    # per file, which comes back as a local relation.
+    last = sorted(rows.df.groupBy(part).agg(F.max_by("o_orderkey", row)).collect())
+    carried = [(n, key) for (n, _), (_, key) in zip(last, [(None, None), *last])]
+    files = spark.createDataFrame(carried, f"{part} int, carried bigint")
+    earlier = F.when(F.col(row) == 0, F.col("carried")).otherwise(F.col("earlier"))
     return (
-        rows.df.join(before, [part, file, row], "left")
-        .join(files, [part, file])
-        .withColumn("earlier", F.when(F.col(row) == 0, F.col("carried")).otherwise(F.col("earlier")))
+        rows.df.join(before, [part, row], "left")
+        .join(files, part)
+        .withColumn("earlier", earlier)
         .select(*rows.columns, "earlier")
     )
 
 
-def _file_window(part: str, file: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(part, file)
-
-
 @query("snk_batches", "SELECT event_id, user_id::DOUBLE AS user_id, event_type FROM events")
 def snk_batches(load, spark):
     """Batches of other types and column orders take the schema of the first."""
@@ -106,11 +101,10 @@ def snk_publish(load, spark):
     table = Table.of(load("customer").select("c_custkey", "c_name"))
     artifact = store.publish(table, CsvSink("customer.csv"), Lifecycle("customer", "run"))
     rows = spark.read.schema("c_custkey bigint, c_name string").csv(artifact.location, header=True)
-    record = store.manifest().where(F.col("id") == artifact.id)
-    sized = (F.col("size_bytes") > 0).alias("sized")
-    return rows.crossJoin(
-        record.select("file_name", "format", "content_type", "retention_days", sized).limit(1)
-    )
+    record = store.manifest().where(F.col("id") == artifact.id).first()
+    names = ("file_name", "format", "content_type", "retention_days")
+    noted = [F.lit(record[n]).alias(n) for n in names]
+    return rows.select("*", *noted, F.lit(record["size_bytes"] > 0).alias("sized"))
 
 
 # -- tables ------------------------------------------------------------------------
@@ -300,13 +294,24 @@ def pipe_linear(load, spark):
     return spark.read.parquet(result.artifact.location)
 
 
-@query(
-    "run_step_metrics",
-    f"SELECT '{len(LINEAR) - 1}:export.parquet' AS step, count(*) AS records_written FROM ({LINEAR_SQL})",
-)
+def _step_counts() -> str:
+    """How many rows leave each step of the linear pipeline."""
+    sizes = {
+        "read": "SELECT count(*) FROM orders",
+        "filtered": "SELECT count(*) FROM orders WHERE o_totalprice > 1000",
+        "deduplicated": f"SELECT count(*) FROM ({LINEAR_SQL})",
+    }
+    rows = []
+    for number, step in enumerate(LINEAR):
+        size = "read" if number < 1 else "filtered" if number < 7 else "deduplicated"
+        rows.append(f"SELECT '{number}:{step['type']}' AS step, ({sizes[size]}) AS records_written")
+    return " UNION ALL ".join(rows)
+
+
+@query("run_step_metrics", _step_counts())
 def run_step_metrics(load, spark):
-    """The event row the run of a pipeline leaves behind."""
-    context = Context(spark, _input_csv(load, spark), scratch_path(spark, "outputs"))
+    """The event rows the run of a pipeline leaves behind, one per step."""
+    context = Context(spark, _input_csv(load, spark), scratch_path(spark, "outputs"), measure="all")
     Pipeline.of(LINEAR).run(context)
     events = spark.read.parquet(f"{context.output_root}/history/events")
     return events.select("step", F.col("records_written").cast("bigint").alias("records_written"))

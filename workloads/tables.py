@@ -251,17 +251,22 @@ def cast_boolean(load, spark):
 
 @query(
     "cast_date",
-    """SELECT o_orderkey, o_orderdate::DATE AS from_datetime,
-       CASE WHEN o_custkey % 2 = 0 THEN o_orderdate::DATE END AS from_text,
-       DATE '1970-01-01' + (o_custkey % 20000)::INT AS from_integer FROM orders""",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS from_datetime,
+       CASE WHEN o_custkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS from_text,
+       strftime(DATE '1970-01-01' + (o_custkey % 20000)::INT, '%Y-%m-%d') AS from_integer FROM orders""",
 )
 def cast_date(load, spark):
-    return cast(
+    """Casts to date, shown as text."""
+    dates = cast(
         load, "orders", "o_orderkey", "date",
         "o_orderdate AS from_datetime",
         "date_format(o_orderdate, IF(o_custkey % 2 = 0, 'yyyy-MM-dd', 'dd.MM.yyyy')) AS from_text",
         "o_custkey % 20000 AS from_integer",
     )
+    table = Table.of(dates)
+    for name in table.columns[1:]:
+        table = CastColumn(name, "text")(table)
+    return table.frame()
 
 
 @query(
