@@ -30,24 +30,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    context = spark.sparkContext
-    if getattr(context, "_millrace_shipped", None) is None:
-        archive = _package_archive()
-        context.addPyFile(archive)
-        context._millrace_shipped = archive
+    ship(spark, os.path.dirname(os.path.abspath(__file__)))
     return spark
 
 
-def _package_archive() -> str:
-    package = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+def ship(spark: SparkSession, package: str) -> None:
+    """Send a Python package to the workers of this application, once."""
+    context = spark.sparkContext
+    shipped = context.__dict__.setdefault("_millrace_shipped", set())
+    if package in shipped:
+        return
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="millrace-"), f"{name}.zip")
     with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
                     out.write(path, os.path.relpath(path, os.path.dirname(package)))
-    return archive
+    context.addPyFile(archive)
+    shipped.add(package)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -126,3 +126,42 @@ def test_limit(table):
 def test_sort_configurations(columns):
     with pytest.raises(ConfigError):
         SortRows(columns)
+
+
+def test_a_key_with_a_third_of_all_rows(spark):
+    rows = [(i, 0 if i % 3 == 0 else i % 5000) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "place int, key int").repartition(6)
+    table = Table.of(df, ["place"])
+    by_key = {}
+    for place, key in rows:
+        by_key.setdefault(key, []).append(place)
+    wanted = {
+        "first": sorted(v[0] for v in by_key.values()),
+        "last": sorted(v[-1] for v in by_key.values()),
+        "none": sorted(v[0] for v in by_key.values() if len(v) == 1),
+    }
+    for keep, places in wanted.items():
+        out = DeduplicateRows(["key"], keep=keep)(table)
+        assert [r.place for r in out.ordered_frame().collect()] == places
+    plan = DeduplicateRows(["key"], keep="none")(table).df._jdf.queryExecution().toString()
+    assert "partial_count" in plan and "Window" not in plan
+
+
+def test_keep_none_with_unique_keys_of_all_types(spark):
+    rows = [(1, None, "a", 1.5), (2, 1, None, None), (3, 1, "b", None), (4, 2, None, float("nan"))]
+    df = spark.createDataFrame(rows, "place int, key int, v string, x double")
+    out = DeduplicateRows(["key"], keep="none")(Table.of(df, ["place"])).ordered_frame().collect()
+    assert [(r.place, r.key, r.v) for r in out] == [(1, None, "a"), (4, 2, None)]
+    assert out[1].x != out[1].x
+
+
+def test_empty_tables(spark):
+    table = Table.of(spark.createDataFrame([], "id bigint, v string"), ["id"])
+    for operator in (
+        FilterRows("id", "equals", 1),
+        DeduplicateRows(["id"]),
+        DeduplicateRows(keep="none"),
+        SortRows([{"column": "v"}]),
+        LimitRows(3),
+    ):
+        assert operator(table).ordered_frame().collect() == []

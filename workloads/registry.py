@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace import Table, prepare
+from millrace.session import ship
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,7 @@ def query(name: str, oracle: str | None):
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             prepare(spark)
+            ship(spark, os.path.dirname(os.path.abspath(__file__)))
             return fn(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"), spark)
 
         QUERIES[name] = Query(run, oracle)
