@@ -6,7 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, small_frame
 from ..sources.dataset import scan
 from ..table import Table, col
 
@@ -28,7 +28,7 @@ def numbered(table: Table, name: str) -> Table:
     sizes = sorted(rows.df.groupBy(part).agg(F.count(F.lit(1))).collect())
     before = accumulate((size for _, size in sizes), initial=0)
     offsets = [(number, start) for (number, _), start in zip(sizes, before)]
-    starts = spark.createDataFrame(offsets, f"{part} int, __before bigint")
+    starts = small_frame(spark, offsets, f"{part} int, __before bigint")
     placed = rows.df.join(starts, part)
     position = (F.col("__before") + col(row)).alias(name)
     visible = [col(c) for c in rows.columns]

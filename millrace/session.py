@@ -7,7 +7,10 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SETTINGS = {
     # Zone-free timestamps are converted through the session zone.
@@ -68,6 +71,14 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of a few rows as a local relation: no job, no Python worker, exact size."""
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(fields)
+    arrays = [pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), fields)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables."""
     return f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"

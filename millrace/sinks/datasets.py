@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataError, SchemaError
+from ..session import small_frame
 from ..sources.dataset import in_file_order
 from ..sources.documents import checked
 from ..table import HIDDEN, Documents, OrderKey, Table, col
@@ -77,7 +78,7 @@ def append_row(spark: SparkSession, path: str, row: dict[str, Any], schema: str)
 
 def append_rows(spark: SparkSession, path: str, rows: list[dict[str, Any]], schema: str) -> None:
     names = T.StructType.fromDDL(schema).names
-    records = spark.createDataFrame([tuple(row[n] for n in names) for row in rows], schema)
+    records = small_frame(spark, [tuple(row[n] for n in names) for row in rows], schema)
     records.coalesce(1).write.mode("append").parquet(path)
 
 

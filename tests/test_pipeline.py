@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from millrace import ConfigError, SchemaError
+from millrace import ConfigError, DataError, SchemaError
 from millrace.plans.catalog import COMPONENTS
 from millrace.plans.pipeline import Context, Pipeline
 from millrace.sinks.relational import FolderTarget
@@ -214,16 +214,37 @@ def test_a_failing_commit_leaves_the_run_successful(spark, scratch):
 
 
 def test_jdbc_options_hold_a_quoted_relation_and_the_fetch_size():
-    database = JdbcDatabase("jdbc:x", {"driver": "d"}, {"partitionColumn": "id", "numPartitions": "8"})
+    database = JdbcDatabase("jdbc:x", {"driver": "d"})
     options = database.table_options("sales.orders", 500)
     assert options["dbtable"] == '"sales"."orders"' and options["fetchsize"] == "500"
-    assert options["numPartitions"] == "8"
     query = database.query_options("SELECT 1 WHERE a > %(checkpoint)s ORDER BY a", "x'y", 10)
     assert query["query"] == "SELECT 1 WHERE a > 'x''y' ORDER BY a"
     assert "jdbc" not in repr(database)
     assert [sql_literal(v) for v in (None, True, 3, 0.5)] == ["NULL", "TRUE", "3", "0.5"]
 
 
+def test_jdbc_tables_are_read_over_many_connections(spark):
+    asked = []
+
+    def load(session, options):
+        asked.append(options)
+        return session.range(1).selectExpr("3 AS low", "90 AS high") if "query" in options else session.range(5)
+
+    database = JdbcDatabase("jdbc:x", partition_column="id", connections=4, load=load)
+    rows = RelationalSource(table="orders", chunk_size=7)(spark, database).frame()
+    assert rows.count() == 5
+    assert asked[0]["query"] == 'SELECT MIN("id") AS low, MAX("id") AS high FROM "orders"'
+    wanted = {"partitionColumn": '"id"', "lowerBound": "3", "upperBound": "90", "numPartitions": "4"}
+    assert wanted.items() <= asked[1].items() and asked[1]["fetchsize"] == "7"
+
+    def broken(session, options):
+        raise OSError("jdbc:s3cret")
+
+    with pytest.raises(DataError) as error:
+        RelationalSource(table="orders")(spark, JdbcDatabase("jdbc:x", load=broken))
+    assert "s3cret" not in str(error.value)
+
+
 def test_incremental_reads_push_the_predicate(spark, scratch):
     spark.range(20).selectExpr("id", "CAST(id AS DECIMAL(10,2)) AS d").write.parquet(f"{scratch}/t")
     spark.read.parquet(f"{scratch}/t").createOrReplaceTempView("incremental")
