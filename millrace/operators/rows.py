@@ -147,7 +147,7 @@ class LimitRows:
         whole_number(self.count, "count", 0)
 
     def __call__(self, table: Table) -> Table:
-        if self.count > self.one_task and table.order:
+        if self.count > self.one_task:
             return leading(table, int(self.count))
         rows = table.df
         if table.order:

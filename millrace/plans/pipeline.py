@@ -22,6 +22,7 @@ from ..sinks import storage
 from ..sinks.artifacts import Artifact, ArtifactStore
 from ..sinks.datasets import Lifecycle, append_row, append_rows
 from ..sinks.relational import RelationalSink, Target
+from ..sources.dataset import stored
 from ..sources.pages import PagedSource, Transport
 from ..sources.relational import Database, RelationalSource
 from ..streaming.checkpoints import CheckpointLifecycle, CheckpointStore, run_with_checkpoint
@@ -160,10 +161,8 @@ class Pipeline:
             table = source(spark, context.database, checkpoint)
             if not (_incremental(source) and context.checkpoints):
                 return table, None
-            path = scratch_path(spark, "extract")
-            table.df.write.parquet(path)
-            stored = replace(table, df=spark.read.parquet(path))
-            return stored, source.candidate(stored.df)
+            extract = stored(table, "extract")
+            return extract, source.candidate(extract.df)
         if isinstance(source, PagedSource):
             pages = source(spark, context.transport, checkpoint)
             pages = pages.materialized(scratch_path(spark, "pages"))
@@ -177,12 +176,12 @@ class Pipeline:
         table: Any = loaded
         for step in self.steps[:-1]:
             if context.measure == "all" and isinstance(step.operator, LimitRows):
-                table = _stored(table)
+                table = stored(table, "step")
             if step.component.kind == "transform":
                 table = step.operator(table)
             if context.measure == "all" and isinstance(table, Table):
                 table = replace(table, df=_counter(step.name, observed)(table.df))
-        return _stored(table) if context.measure == "all" else table
+        return stored(table, "step") if context.measure == "all" else table
 
     def _deliver(
         self, context: Context, table: Table, run_id: str, observed: dict[str, Observation]
@@ -267,10 +266,3 @@ def _counter(
         return df.observe(observed[name], F.count(F.lit(1)).alias("rows"))
 
     return count
-
-
-def _stored(table: Table) -> Table:
-    """The table read back from the shared folder, so that its plan runs only once."""
-    path = scratch_path(table.df.sparkSession, "step")
-    table.df.write.parquet(path)
-    return replace(table, df=table.df.sparkSession.read.parquet(path))

@@ -83,7 +83,12 @@ class JsonSink:
 
 
 def json_object(df: DataFrame) -> F.Column:
-    return F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    options = {
+        "ignoreNullFields": "false",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    }
+    return F.to_json(F.struct(*[col(c) for c in df.columns]), options)
 
 
 def _array_writer(rows_per_array: int):

@@ -20,6 +20,7 @@ from ..config import check_value, option
 from ..errors import ConfigError, DataError, SchemaError
 from ..operators.rows import DeduplicateRows
 from ..session import scratch_path
+from ..sources.dataset import stored
 from ..sources.relational import quote_identifier, quote_relation
 from ..table import Table, col, require_columns
 from . import storage
@@ -178,7 +179,8 @@ class FolderTarget:
     """Parquet tables below a root, with `keys` as the unique constraint of each.
 
     Append adds the first row of every new key whose columns are all filled; a key
-    with a null never conflicts, as in SQL.  One writer per table at a time.
+    with a null never conflicts, as in SQL.  The load is written to the shared folder
+    first, as it is looked at more than once.  One writer per table at a time.
     """
 
     root: str
@@ -200,7 +202,8 @@ class FolderTarget:
         keys = list(self.keys[relation])
         require_columns(table.columns, keys)
         present = spark.read.parquet(path) if storage.exists(spark, path) else None
-        table.observed(new_rows(table, keys, present)).write.mode("append").parquet(path)
+        load = stored(table, "load")
+        table.observed(new_rows(load, keys, present)).write.mode("append").parquet(path)
 
 
 def new_rows(table: Table, keys: Sequence[str], present: DataFrame | None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..table import HIDDEN, OrderKey, Table, col
 
 
@@ -27,3 +30,15 @@ def in_file_order(df: DataFrame, batch: str | None = None) -> Table:
     hidden = [k.alias(f"{HIDDEN}{i}") for i, k in enumerate(keys)]
     order = tuple(OrderKey(f"{HIDDEN}{i}") for i in range(len(keys)))
     return Table(df.select(*visible, *hidden), order)
+
+
+def stored(table: Table, name: str) -> Table:
+    """The table read back from the shared folder, so that its plan runs only once.
+
+    Later steps may then read it several times, see its exact size, and do not
+    depend on how often its tasks ran.
+    """
+    spark = table.df.sparkSession
+    path = scratch_path(spark, name)
+    table.df.write.parquet(path)
+    return replace(table, df=spark.read.parquet(path))

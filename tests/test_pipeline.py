@@ -281,6 +281,15 @@ def test_database_configurations(settings):
         RelationalSource(**settings)
 
 
+def test_a_checkpoint_query_gets_the_value_as_a_parameter(spark):
+    spark.range(5).createOrReplaceTempView("numbers")
+    sql = "SELECT id FROM numbers WHERE id > coalesce(%(checkpoint)s, -1) ORDER BY id"
+    source = RelationalSource(query=sql, checkpoint_column="id")
+    assert source(spark, CatalogDatabase()).frame().count() == 5
+    rows = source(spark, CatalogDatabase(), {"value": 2}).sorted_frame().collect()
+    assert [r.id for r in rows] == [3, 4]
+
+
 def test_checkpoints_of_another_shape_are_refused(spark):
     source = RelationalSource(table="x", checkpoint_column="a")
     for bad in ({"other": 1}, {"value": [1]}, {"value": None}, [1]):
