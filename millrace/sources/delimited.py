@@ -55,10 +55,7 @@ class DelimitedSource:
         multi_line = self.multi_line
         if multi_line is None:
             multi_line = self._has_quoted_line_breaks(spark, path)
-        raw = self._reader(spark, multi_line).csv(path).columns
-        names = raw if self.has_header else [f"column_{i + 1}" for i in range(len(raw))]
-        if not names:
-            raise DataError("The delimited source is empty.")
+        names = self._names(spark, path, multi_line)
         if any(n.startswith("__") for n in names):
             raise SchemaError("Column names of a delimited source must not start with __.")
         fields = [T.StructField(n, T.StringType()) for n in names]
@@ -76,6 +73,18 @@ class DelimitedSource:
         ]
         return _in_file_order(frame, columns)
 
+    def _names(self, spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+        """The column names, from the first record; Spark would repair doubtful ones."""
+        records = self._reader(spark, multi_line).option("header", False).csv(path)
+        if not records.columns:
+            raise DataError("The delimited source is empty.")
+        if not self.has_header:
+            return [f"column_{i + 1}" for i in range(len(records.columns))]
+        names = list(records.head(1)[0])
+        if None in names or EMPTY_TEXT in names or len(set(names)) != len(names):
+            raise SchemaError("The header has empty or repeated names.")
+        return names
+
     def _reader(self, spark: SparkSession, multi_line: bool) -> DataFrameReader:
         return spark.read.options(
             header=self.has_header,

@@ -67,6 +67,23 @@ def test_csv_keeps_the_order_over_splits_and_files(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_csv_headers(spark, scratch):
+    put(scratch, "a.csv", "\ufeffa.b,`x`,Id,id\r\n1,2,3,4\r\n")
+    table = DelimitedSource("a.csv")(spark, scratch)
+    assert table.columns == ["a.b", "`x`", "Id", "id"] and rows(table) == [(1, 2, 3, 4)]
+    put(scratch, "b.csv", "id,v\n")
+    assert types(DelimitedSource("b.csv")(spark, scratch)) == ["string", "string"]
+    for number, text in enumerate(["", "a,a\n1,2\n", "a,\n1,2\n", "__ord_0\n1\n"]):
+        put(scratch, f"bad{number}.csv", text)
+        with pytest.raises((DataError, SchemaError)):
+            DelimitedSource(f"bad{number}.csv")(spark, scratch)
+
+
+def test_csv_text_is_taken_as_it_is(spark, scratch):
+    put(scratch, "a.csv", 'v,w\n#a, x \n\\N,"b,\\c"\n')
+    assert rows(DelimitedSource("a.csv")(spark, scratch)) == [("#a", " x "), ("\\N", "b,\\c")]
+
+
 @pytest.mark.parametrize("path", ["/etc/a.csv", "../a.csv", "x/../../a.csv", "", ".", "s3:/a.csv"])
 def test_paths_stay_below_the_root(path):
     for make in (DelimitedSource, JsonSource, WorkbookSource):
