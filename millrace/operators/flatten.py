@@ -105,7 +105,12 @@ class FlattenDocument:
         return self.array_mode == "explode"
 
     def __call__(self, documents: Documents, shape: Shape | None = None) -> Table:
-        """Flatten; without a known `shape` this reads the documents once to find it."""
+        """Flatten; without a known `shape` this reads the documents once to find it.
+
+        That pass also checks every document.  With a known shape nothing is read here,
+        keys outside it are ignored, and text that is not JSON yields nulls.  Documents
+        that are costly to make should be written first, as they are read twice.
+        """
         if not isinstance(documents, Documents):
             raise SchemaError("Flatten needs documents as its input.")
         documents, path = self._records_side(documents)

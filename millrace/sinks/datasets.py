@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataError, SchemaError
+from ..functions.text import strip
 from ..session import small_frame
 from ..sources.dataset import in_file_order
 from ..sources.documents import checked
@@ -124,11 +125,12 @@ class DatasetStore:
         """Write every document as one line of compact JSON after checking it."""
         location = self._location(lifecycle)
         documents = documents.assembled()
-        body = F.get_json_object(checked(F.col("body")), "$")
-        # The JSON path function unquotes a text document; keep its own spelling.
-        compact = F.when(F.ltrim("body").startswith('"'), F.trim("body")).otherwise(body)
         keys = [k.ascending_column() for k in documents.order]
-        rows = documents.df.orderBy(*keys) if keys else documents.df
+        rows = documents.df.withColumn("body", checked(F.col("body")))
+        rows = rows.orderBy(*keys) if keys else rows
+        # The JSON path function unquotes a text document; keep its own spelling.
+        bare = strip(F.col("body"))
+        compact = F.when(bare.startswith('"'), bare).otherwise(F.get_json_object("body", "$"))
         rows.select(compact.alias("value")).write.mode("errorifexists").text(location)
         return self._record("document", "json", location, "[]", lifecycle)
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import check_value, option, relative_path, under_root
 from ..errors import ConfigError, DataError, SchemaError
+from ..session import scratch_path
 from ..table import HIDDEN, OrderKey, Table, col
 
 BATCH_ROWS = 8192
@@ -71,9 +72,17 @@ class WorkbookSource:
         return self.read(files)
 
     def read(self, workbooks: DataFrame) -> Table:
-        """Parse a frame with the columns `path` and `content` (two actions)."""
+        """Parse a frame with the columns `path` and `content`.
+
+        The cells are written to the shared folder, so that every workbook is parsed
+        once; names and types are then found in that table (three actions).
+        """
+        spark = workbooks.sparkSession
         files = workbooks.select("path", "content")
-        cells = files.mapInArrow(_sheet_reader(self.sheet_name, self.has_header), CELLS)
+        parsed = files.mapInArrow(_sheet_reader(self.sheet_name, self.has_header), CELLS)
+        path = scratch_path(spark, "cells")
+        parsed.write.parquet(path)
+        cells = spark.read.parquet(path)
         # A header row holds the names and, as its number, the width of the sheet.
         # Names differ only if workbooks do, so their distinct lists are one row.
         widths = cells.where("header").groupBy("cells").agg(F.max("row").alias("width"))

@@ -159,15 +159,16 @@ def test_batches_take_the_schema_of_the_first(spark, scratch):
 
 def test_documents_are_checked_and_compact(spark, scratch):
     store = DatasetStore(spark, scratch)
-    bodies = ['{ "a" : [1, 2],\n "é": null }', '"x"', " null ", "7"]
+    bodies = ['{ "a" : [1, 2],\n "é": null }', '\n"x"\t', " null ", "7"]
     df = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
     saved = store.persist_documents(Documents.of(df, "body", ["n"]), RUN)
     kept = store.documents(saved.id)
     back = kept.df.orderBy(*[k.column for k in kept.order]).collect()
     assert [r.body for r in back] == ['{"a":[1,2],"é":null}', '"x"', "null", "7"]
-    bad = spark.createDataFrame([(0, '{"a": NaN}')], "n int, body string")
-    with pytest.raises(Exception, match="not valid JSON"):
-        store.persist_documents(Documents.of(bad, "body", ["n"]), RUN)
+    for text_ in ('{"a": NaN}', '"x', '"x" 1'):
+        bad = spark.createDataFrame([(0, text_)], "n int, body string")
+        with pytest.raises(Exception, match="not valid JSON"):
+            store.persist_documents(Documents.of(bad, "body", ["n"]), RUN)
     assert store.manifest().count() == 1
 
 

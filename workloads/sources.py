@@ -168,7 +168,7 @@ class PageFiles:
         parts = urlsplit(url)
         asked = parse_qs(parts.query)
         page = int(asked.get("page", [self.first])[0])
-        files, root = pafs.FileSystem.from_uri(self.folder)
+        files, root = pafs.FileSystem.from_uri(re.sub("^file:/+", "/", self.folder))
         place = f"{root}/endpoint={parts.path.strip('/')}/page={page}"
         found = files.get_file_info(pafs.FileSelector(place, allow_not_found=True))
         texts = [f.path for f in found if re.search(r"part-[^/]*\.txt$", f.path)]
