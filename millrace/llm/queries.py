@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 from .frames import ready
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.remove_repeated(table(spark, folder, "documents"))
     return kept.select(
@@ -21,6 +25,7 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op5_substring_dedup": op5_substring_dedup,
 }
 
