@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, substring_dedup
-from .frames import ready
+from ..session import scratch_path
+from . import fingerprints, language_id, line_dedup, mixing, ngram_join, packing, substring_dedup, topk, warc
+from .following import with_next_text
+from .frames import ready, renamed, text_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+OP1_SQL = f"""
+WITH pages AS (
+  SELECT doc_id, text, coalesce('=' || source, '') AS host, string_split(text, chr(10)) AS lines FROM documents
+), totals AS (
+  SELECT host, count(*) AS total FROM pages GROUP BY host
+), on_page AS (
+  SELECT host, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM pages
+), common AS (
+  SELECT host, line FROM on_page JOIN totals USING (host) WHERE line <> ''
+  GROUP BY host, line, total HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > total * {line_dedup.RATIO}::DOUBLE
+), by_host AS (
+  SELECT host, list(line) AS found FROM common GROUP BY host
+), kept AS (
+  SELECT doc_id, text, len(lines) AS n_lines,
+         list_filter(lines, lambda x: NOT list_contains(coalesce(found, []), trim(x))) AS lines
+  FROM pages LEFT JOIN by_host USING (host)
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - len(lines), 0)::BIGINT AS n_dropped,
+       array_to_string(lines, chr(10)) AS text
+FROM kept
+"""
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -24,9 +54,133 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Documents no model may learn from; without id a document is in neither part."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.Model.learn(docs.where(~held_out()))
+    found = language_id.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), vocabulary())
+    return pieces.drop("ids").withColumnRenamed("id", "doc_id")
+
+
+def vocabulary() -> str:
+    """The place of the production vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(ready(spark), "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    responses = warc.read_archives(spark, path).where("record_type = 'response'")
+    headers = [c for c in warc.HEADERS if c != "content_length"]
+    revisits = warc.read_archives(spark, path, headers).where("record_type = 'revisit'")
+    responses = responses.select(
+        number("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = revisits.select(
+        number("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.replace("payload_digest", F.lit("sha1:"), F.lit("")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+    return responses.unionByName(revisits)
+
+
+OP7_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS hex FROM pages
+), groups AS (
+  SELECT page_id, size, hex, min(page_id) OVER (PARTITION BY hex) AS first,
+         list_transform(range(8), lambda g: ('0x' || substr(hex, (5 * g + 1)::INT, 5))::INT) AS bits
+  FROM hashed
+)
+SELECT page_id, size::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((bits[(i // 4 + 1)::INT] >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM groups
+"""
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = renamed(table(spark, folder, "documents"), id="doc_id", text="text")
+    docs = with_next_text(docs.withColumn("text", text_of("text")), "next")
+    size, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), size - third), F.substring("next", F.lit(1), third))
+    docs = docs.withColumn("edited", edited)
+    for text in ("text", "edited", "next"):
+        docs = fingerprints.with_sketch(docs, text, f"{text}_sketch")
+    own, edited, next_ = (F.col(f"{text}_sketch") for text in ("text", "edited", "next"))
+    return docs.select(
+        F.col("id").alias("doc_id"),
+        size.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, edited).alias("near_edited"),
+        fingerprints.resemblance(own, next_).alias("near_next"),
+    )
+
+
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP10_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op10_topk": op10_topk,
     "op2_ngram_join": op2_ngram_join,
+    "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op10_topk": OP10_SQL,
+    "op7_warc": OP7_SQL,
+}
