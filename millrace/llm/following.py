@@ -29,7 +29,7 @@ def with_next_text(docs: DataFrame, into: str) -> DataFrame:
     heads = {r["range"]: r["head"] for r in ranged.groupBy("range").agg(F.max("id").alias("head")).collect()}
     order = sorted(heads, reverse=True)
     to = {r: order[i - 1] for i, r in enumerate(order)}
-    places = range(len(bounds) + 1)
+    places = range(len(blocks) * stride + 1)
     head = F.get(F.array(*[F.lit(heads.get(r)).cast("long") for r in places]), F.col("range"))
     target = F.get(F.array(*[F.lit(to.get(r)).cast("int") for r in places]), F.col("range"))
     # The range before `order[0]` is the last one: its end is followed by the first row.

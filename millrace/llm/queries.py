@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import fingerprints, language_id, line_dedup, mixing, ngram_join, packing, substring_dedup, topk, warc
+from . import fingerprints, language_id, line_dedup, lm_score, mixing, ngram_join, packing, substring_dedup, topk, warc
 from .following import with_next_text
 from .frames import ready, renamed, text_of
 
@@ -54,6 +54,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lm_score.score(docs, lm_score.trained(docs)).withColumnRenamed("id", "doc_id")
+
+
 def held_out() -> Column:
     """Documents no model may learn from; without id a document is in neither part."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -171,6 +176,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op10_topk": op10_topk,
     "op2_ngram_join": op2_ngram_join,
+    "op3_lm_score": op3_lm_score,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
