@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import prepare, scratch_path
 from ..table import col
@@ -50,5 +49,16 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[col(source).alias(target) for target, source in columns.items()])
 
 
-def type_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+def row_name(id_column: str, text_column: str) -> Column:
+    """What a row is known by: its id and a hash of its text; rows without id sort last."""
+    return F.struct(
+        col(id_column).isNull().alias("unnamed"),
+        col(id_column).alias("id"),
+        F.xxhash64(col(text_column)).alias("text_hash"),
+    )
+
+
+def with_row_name(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str]:
+    """Add the name of each row under a column name that is free; also return that."""
+    free = next(f"name{i}" for i in range(len(df.columns) + 1) if f"name{i}" not in df.columns)
+    return df.withColumn(free, row_name(id_column, text_column)), free

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..table import col
 from .frames import ready, renamed, text_of
 from .text import slices
 
@@ -166,6 +167,20 @@ def predict_rows(shared):
     return run
 
 
+def annotate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """All rows and columns of `docs` with `lang_pred` and `score` (they replace such columns)."""
+    spark = ready(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    carried = {f"column{i}": c for i, c in enumerate(kept)}
+    source = docs.select(
+        *[col(c).alias(name) for name, c in carried.items()], text_of(text_column).alias("text")
+    )
+    schema = T.StructType([T.StructField(name, docs.schema[c].dataType) for name, c in carried.items()])
+    schema = schema.add("lang_pred", "string").add("score", "double")
+    found = source.mapInArrow(predict_rows(spark.sparkContext.broadcast(model)), schema)
+    return found.toDF(*kept, "lang_pred", "score")
+
+
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: `id`, `lang_pred` and `score`, the probability of that language, 0 to 1.
 
@@ -173,7 +188,4 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     `und` with score 0.  Ties go to the first language in code point order.  Ids may be
     null or repeated.
     """
-    spark = ready(docs.sparkSession)
-    source = renamed(docs, id=id_column, text=text_column).withColumn("text", text_of("text"))
-    schema = T.StructType([source.schema["id"]]).add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(predict_rows(spark.sparkContext.broadcast(model)), schema)
+    return annotate(renamed(docs, id=id_column, text=text_column), model).drop("text")

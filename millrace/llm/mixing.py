@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..table import col
-from .frames import ready, text_of, written
+from .frames import ready, text_of, with_row_name, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -58,6 +58,19 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return frame.select("key", "source", "source_size", target.alias("target"))
 
 
+def nearest(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
+    """How many documents of each size come nearest to `budget`, from below or above.
+
+    What is above leaves out documents that fit into the rest of all words from below.
+    """
+    below = fitted(sizes, counts, budget, seed)
+    total, short = int(np.dot(sizes, counts)), budget - int(np.dot(sizes, below))
+    if short <= 0 or total <= budget:
+        return below
+    above = counts - fitted(sizes, counts, total - budget, seed)
+    return below if short <= int(np.dot(sizes, above)) - budget else above
+
+
 def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
     """How many documents of each size (all > 0, distinct) sum to `budget`, or just below.
 
@@ -105,7 +118,7 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
 def fit_group(seed: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("size", ignore_index=True)
-        taken = fitted(frame["size"].to_numpy(), frame["docs"].to_numpy(), int(frame["budget"].iloc[0]), seed)
+        taken = nearest(frame["size"].to_numpy(), frame["docs"].to_numpy(), int(frame["budget"].iloc[0]), seed)
         return pd.DataFrame({"key": frame["key"], "size": frame["size"], "chosen": taken})
 
     return run
@@ -159,3 +172,17 @@ def mix(
     return ranked.join(budgets.drop("source"), "key").select(
         "id", "source", "size", "source_size", "target", (F.col("whole") + extra).alias("copies")
     )
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them, with all columns."""
+    ready(docs.sparkSession)
+    named, name = with_row_name(docs, id_column, text_column)
+    taken = mix(named, name, text_column, **options).where("copies > 0")
+    taken = taken.groupBy(F.col("id").alias("taken_name")).agg(F.sum("copies").cast("int").alias("taken_copies"))
+    taken = taken.withColumn("row_hash", F.xxhash64("taken_name"))
+    same = (F.xxhash64(name) == F.col("row_hash")) & F.col(name).eqNullSafe(F.col("taken_name"))
+    # Rows equal in id and text are one row here, as often as all of them are taken.
+    chosen = named.dropDuplicates([name]).join(taken, same)
+    copies = F.explode(F.sequence(F.lit(1), F.col("taken_copies"))).alias("taken_copy")
+    return chosen.select(*[col(c) for c in docs.columns], copies).drop("taken_copy")

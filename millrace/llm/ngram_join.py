@@ -18,6 +18,7 @@ more than `UNIT_TOKENS` shingles is cut in blocks, and every pair of blocks is a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import partitions, ready, renamed, text_of, written
+from .frames import partitions, ready, renamed, text_of, with_row_name, written
 from .graph import components
 from .text import Words, groups, mix, prefix_sums, rolling, slices, span_hashes
 
 WORDS = 3
 PERCENT = 90
-UNIT_TOKENS = 2 << 20
-
-
-def part_counts() -> np.ndarray:
-    """The part counts in use: each about a quarter more than the one before."""
-    counts = [1]
-    while counts[-1] < 1 << 30:
-        counts.append(max(counts[-1] + 1, counts[-1] * 5 // 4))
-    return np.array(counts, dtype=np.int64)
-
-
-PART_COUNTS = part_counts()
+UNIT_TOKENS = 1 << 17
 
 
 def most_differing(total, percent: int):
@@ -52,11 +42,19 @@ def most_differing(total, percent: int):
     return total * (100 - percent) // (100 + percent)
 
 
-def parts_for(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts for pairs whose larger set has this size, and how many are equal at least."""
-    differing = most_differing(2 * sizes, percent)
-    parts = PART_COUNTS[np.searchsorted(PART_COUNTS, differing + 1 + (differing > 5))]
-    return parts, parts - differing
+@functools.cache
+def part_plan(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part counts in use, each about a quarter more than the one before, and for each
+    the most shingles two sets may differ in: the parts that are surely equal then outnumber
+    the empty parts to be expected in sets of that size, but for rare sets."""
+    counts = [1]
+    while counts[-1] < 1 << 30:
+        counts.append(max(counts[-1] + 1, counts[-1] * 5 // 4))
+    parts = np.array(counts, dtype=np.int64)
+    filling = (100 + percent) / (2 * (100 - percent))  # shingles a part, about
+    empty = parts * np.exp(-filling)
+    spare = np.where(empty < 5e-4, 0, np.ceil(empty + 4 * np.sqrt(empty))).astype(np.int64)
+    return parts, np.maximum.accumulate(parts - 1 - spare)
 
 
 class Sets:
@@ -97,16 +95,18 @@ class Sets:
         """Keys of all parts a linked set could share, and the text of each."""
         sizes, first = self.sizes, self.first
         largest = sizes * 100 // percent
+        plan, allowed = part_plan(percent)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.values))])
         keys, texts = [], []
         needs_prefix = np.zeros(len(sizes), dtype=bool)
         # Sets this small are linked with equal sets only, which are one set already.
         open_sets = (sizes > 0) & (most_differing(sizes + largest, percent) > 0)
-        own, sure_own = parts_for(sizes, percent)
-        next_, sure_next = parts_for(largest, percent)
-        for parts, sure, chosen in ((own, sure_own, open_sets), (next_, sure_next, open_sets & (next_ != own))):
-            if not chosen.any():
-                continue
+        # The larger set of a pair decides on the parts; it may be as large as `largest`.
+        least = np.searchsorted(allowed, most_differing(2 * sizes, percent))
+        most = np.searchsorted(allowed, most_differing(2 * largest, percent))
+        for step in range(int((most - least)[open_sets].max(initial=-1)) + 1):
+            chosen = open_sets & (least + step <= most)
+            parts = plan[least + step]
             at = np.flatnonzero(chosen[self.text])
             text = self.text[at]
             part = ((self.values[at] >> np.uint64(32)) * parts[text].astype(np.uint64)) >> np.uint64(32)
@@ -119,6 +119,7 @@ class Sets:
             keys.append(mix(content ^ name))
             texts.append(text[begin])
             filled = np.bincount(text[begin], minlength=len(sizes))
+            sure = parts - allowed[least + step]
             needs_prefix |= chosen & (parts - filled >= sure)
         if needs_prefix.any():
             length = sizes - -(-sizes * percent // 100) + 1
@@ -339,3 +340,17 @@ def near_copies(
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """One row of each component of near copies, with all columns: that of the least id.
+
+    Rows without id come after all others, ties go by a hash of the text, and of rows
+    equal in id and text one stays.
+    """
+    ready(docs.sparkSession)
+    named, name = with_row_name(docs, id_column, text_column)
+    found = near_copies(named, name, text_column, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.xxhash64("id").alias("row_hash"), F.col("id").alias("kept_name")).distinct()
+    same = (F.xxhash64(name) == F.col("row_hash")) & F.col(name).eqNullSafe(F.col("kept_name"))
+    return named.join(kept, same, "left_semi").dropDuplicates([name]).drop(name)

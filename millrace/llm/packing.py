@@ -183,6 +183,13 @@ def lookup(path: str) -> Lookup:
     return _lookups[path]
 
 
+def production_vocabulary() -> str:
+    """The place of the production vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def cost(length: int) -> float:
     return length + length * length / QUADRATIC
 

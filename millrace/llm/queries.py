@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import scratch_path
 from . import fingerprints, language_id, line_dedup, lm_score, mixing, ngram_join, packing, substring_dedup, topk, warc
 from .following import with_next_text
@@ -72,17 +74,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.pack(table(spark, folder, "documents"), vocabulary())
+    pieces = packing.pack(table(spark, folder, "documents"), packing.production_vocabulary())
     return pieces.drop("ids").withColumnRenamed("id", "doc_id")
 
 
-def vocabulary() -> str:
-    """The place of the production vocabulary file, the same on every executor."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select(
@@ -183,6 +178,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
