@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import MISSING, field, fields
 from typing import Any, TypeVar
 
@@ -34,46 +34,50 @@ def option(
 
 def build(cls: type[C], values: Mapping[str, Any], secrets: Mapping[str, str] | None = None) -> C:
     """Create `cls` from portable values; secrets come only from `secrets`."""
-    declared = {f.metadata.get("key") or f.name: f for f in fields(cls) if "kind" in f.metadata}
-    unknown = sorted(set(values) - set(declared))
-    if unknown:
-        raise ConfigError(f"{cls.__name__} does not define: {', '.join(unknown)}.")
-    bound = dict(secrets or {})
-    unbound = sorted(k for k in bound if k not in declared or not declared[k].metadata["secret"])
-    if unbound:
-        raise ConfigError(f"{cls.__name__} has no secret fields: {', '.join(unbound)}.")
-    arguments = {}
-    for key, spec in declared.items():
-        if spec.metadata["secret"]:
-            if key in values:
-                raise ConfigError(f"Secret field {key} must be supplied as a secret binding.")
-            if key in bound:
-                arguments[spec.name] = bound[key]
-            elif spec.default is MISSING and spec.default_factory is MISSING:
-                raise ConfigError(f"{cls.__name__} requires the secret {key}.")
-            continue
-        if values.get(key) is not None:
-            check_value(spec.metadata["kind"], key, values[key], spec.metadata["choices"])
-            arguments[spec.name] = values[key]
-        elif spec.default is MISSING and spec.default_factory is MISSING:
+    given = {False: dict(values), True: dict(secrets or {})}
+    options = {f.metadata["key"] or f.name: f for f in fields(cls) if "kind" in f.metadata}
+    for secret, entries in given.items():
+        foreign = {k for k in entries if k not in options or options[k].metadata["secret"] is not secret}
+        if foreign:
+            what = "secrets" if secret else "options"
+            raise ConfigError(f"{cls.__name__} does not take these {what}: {', '.join(sorted(foreign))}.")
+    chosen = {}
+    for key, spec in options.items():
+        value = given[spec.metadata["secret"]].get(key)
+        if value is not None:
+            check_value(spec.metadata["kind"], key, value, spec.metadata["choices"])
+            chosen[spec.name] = value
+        elif spec.default is spec.default_factory is MISSING:
             raise ConfigError(f"{cls.__name__} requires {key}.")
-    return cls(**arguments)
+    return cls(**chosen)
+
+
+def _is_number(value: Any) -> bool:
+    return type(value) in (int, float)
+
+
+def _is_json(value: Any) -> bool:
+    try:
+        json.dumps(value, allow_nan=False)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
+# Control kind -> what a value must pass, and how that is called.
+KINDS: dict[str, tuple[Callable[[Any], bool], str]] = {
+    "text": (lambda v: isinstance(v, str), "text"),
+    "number": (_is_number, "a number"),
+    "boolean": (lambda v: isinstance(v, bool), "true or false"),
+    "json": (_is_json, "JSON-compatible"),
+}
 
 
 def check_value(kind: str, key: str, value: Any, choices: tuple[str, ...] = ()) -> None:
-    if kind == "text" and not isinstance(value, str):
-        raise ConfigError(f"{key} must be text.")
-    if kind == "number" and (not isinstance(value, int | float) or isinstance(value, bool)):
-        raise ConfigError(f"{key} must be a number.")
-    if kind == "boolean" and not isinstance(value, bool):
-        raise ConfigError(f"{key} must be true or false.")
-    if kind == "select" and (not isinstance(value, str) or value not in choices):
-        raise ConfigError(f"{key} must be one of: {', '.join(choices)}.")
-    if kind == "json":
-        try:
-            json.dumps(value, allow_nan=False)
-        except (TypeError, ValueError):
-            raise ConfigError(f"{key} must be JSON-compatible.") from None
+    listed = (lambda v: isinstance(v, str) and v in choices, f"one of: {', '.join(choices)}")
+    passes, name = KINDS.get(kind, listed)
+    if not passes(value):
+        raise ConfigError(f"{key} must be {name}.")
 
 
 def name_list(value: Any, key: str, *, at_least: int) -> tuple[str, ...]:

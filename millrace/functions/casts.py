@@ -25,12 +25,12 @@ TARGETS = {
 }
 
 # The spellings text may have to become another type.
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
-FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-SPECIAL_FLOAT_TEXT = r"(?i)^([+-]?inf|[+-]?infinity|[+-]?nan)$"
-DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+INTEGER_TEXT = r"\A[+-]?[0-9]+\z"
+FLOAT_TEXT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+SPECIAL_FLOAT_TEXT = r"(?i)\A([+-]?inf|[+-]?infinity|[+-]?nan)\z"
+DATE_TEXT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 DATETIME_TEXT = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?$"
+    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
 )
 
 TWO_POW_63 = 9223372036854775808.0

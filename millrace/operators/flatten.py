@@ -39,8 +39,15 @@ from ..table import HIDDEN, Documents, OrderKey, Table, col
 
 MODES = ("json", "explode")
 
-# The description of a schema travels through the driver, so its size is checked.
-MAX_PATHS = 100_000
+# A reader of documents has no limits of its own, and no key of a document means more to
+# it than another; what it cannot read it names in a hidden field.
+CORRUPT = "__corrupt_document"
+PARSER = {
+    "maxStringLen": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    "maxNestingDepth": str(2**31 - 1),
+    "columnNameOfCorruptRecord": CORRUPT,
+}
 BATCH_ROWS = 4096
 
 # Outlines of records held before they are surveyed.
@@ -107,8 +114,8 @@ class FlattenDocument:
     def __call__(self, documents: Documents, shape: Shape | None = None) -> Table:
         """Flatten; without a known `shape` this reads the documents once to find it.
 
-        That pass also checks every document.  With a known shape nothing is read here,
-        keys outside it are ignored, and text that is not JSON yields nulls.  Documents
+        That pass also checks every document.  With a known shape nothing is read here
+        and keys outside it are ignored.  Text that does not fit the shape fails the job.  Documents
         that are costly to make should be written first, as they are read twice.
         """
         if not isinstance(documents, Documents):
@@ -129,6 +136,12 @@ class FlattenDocument:
             return documents, path
         if path == documents.wrapper:
             return Documents(documents.df, documents.order), ()
+        if not path and self.explode and len(documents.wrapper) == 1:
+            # The wrapper has one key, so its rows are those of its elements one by one.
+            opening = json.dumps({documents.wrapper[0]: []})[:-2]
+            body = F.concat(F.lit(opening), F.col("body"), F.lit("]}")).alias("body")
+            keys = [F.col(k.column) for k in documents.order]
+            return Documents(documents.df.select(body, *keys), documents.order), ()
         return documents.assembled(), path
 
     # -- discovery ---------------------------------------------------------
@@ -147,9 +160,7 @@ class FlattenDocument:
         found = df.mapInArrow(_surveyor(self, path, schema), schema)
         position = F.min(F.struct(*order, "record", "row", "rank")).alias("position")
         facts = found.groupBy("section", "column", "path", "kind").agg(position)
-        rows = _collected(facts.limit(MAX_PATHS + 1))
-        if len(rows) > MAX_PATHS:
-            raise DataError(f"The documents have more than {MAX_PATHS} distinct paths.")
+        rows = _collected(facts)
         rows.sort(key=lambda r: _sortable(r["position"]))
         return _shape(rows, self.explode)
 
@@ -164,7 +175,15 @@ class FlattenDocument:
             wanted = T.StructType([T.StructField(segment, wanted)])
         order = list(documents.order)
         hidden = [k.column for k in order]
-        df = documents.df.select(*hidden, F.from_json("body", wanted).alias("__json"))
+        readable = F.lit(True)
+        if isinstance(wanted, T.StructType):
+            wanted = T.StructType([*wanted.fields, T.StructField(CORRUPT, T.StringType())])
+            readable = F.col("__json").getField(CORRUPT).isNull()
+        df = documents.df.select(*hidden, "body", F.from_json("body", wanted, PARSER).alias("__json"))
+        # A document the parser gives up must not become a row of nulls, or no row.
+        failure = F.raise_error(F.lit("A document could not be read.")).cast(wanted)
+        read = F.col("body").isNull() | (F.col("__json").isNotNull() & readable)
+        df = df.select(*hidden, F.when(read, F.col("__json")).otherwise(failure).alias("__json"))
         target = F.col("__json")
         for segment in path:
             target = target.getField(segment)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..config import check_value, column_name, name_list, option, scalar, whole_number
 from ..errors import ConfigError, SchemaError
-from ..functions.positions import leading
 from ..functions.typed import Scalar, fitting_literal
 from ..table import HIDDEN, OrderKey, Table, col, next_hidden, require_columns
 
@@ -25,6 +24,10 @@ COMPARISONS = {
 NULL_CHECKS = {"isNull": Column.isNull, "isNotNull": Column.isNotNull}
 KEEP = ("first", "last", "none")
 
+# Groups of each level of a large limit, and the count up to which it needs no tree.
+FANS = (512, 32)
+FEW_ROWS = 1000
+
 
 @dataclass(frozen=True)
 class FilterRows:
@@ -128,6 +131,12 @@ class SortRows:
             for i, key in enumerate(self.columns)
         )
         copies = [col(k["column"]).alias(o.column) for k, o in zip(self.columns, keys)]
+        if not table.order:
+            table = table.with_tie_breaker()
+            keys = tuple(
+                OrderKey(f"{HIDDEN}{start + 1 + i}", key.descending) for i, key in enumerate(keys)
+            )
+            copies = [col(k["column"]).alias(o.column) for k, o in zip(self.columns, keys)]
         return Table(table.df.select("*", *copies), keys + table.order, shuffled=True)
 
 
@@ -135,21 +144,27 @@ class SortRows:
 class LimitRows:
     """The first `count` rows in row order.
 
-    Spark brings the rows of a limit together in one task.  That is a top-k for the
-    usual counts; beyond `one_task` rows the table is sorted in parallel, written
-    once, and cut by row position.
+    Spark brings the rows of a limit together in one task, `count` from every task
+    before it.  So that this is a bounded multiple of `count`, a tree of group limits
+    stands in front of it: rows are dealt to fewer and fewer groups, each of which keeps
+    its first `count`, before and after its shuffle.  The plan stays lazy for any count.
     """
 
     count: int = option("number")
-    one_task: int = 1_000_000
 
     def __post_init__(self) -> None:
         whole_number(self.count, "count", 0)
 
     def __call__(self, table: Table) -> Table:
-        if self.count > self.one_task:
-            return leading(table, int(self.count))
-        rows = table.df
-        if table.order:
-            rows = rows.orderBy(*[k.ascending_column() for k in table.order])
-        return replace(table, df=rows.limit(int(self.count)))
+        count = int(self.count)
+        if count == 0 or not table.order:
+            return replace(table, df=table.df.limit(count))
+        order = [k.ascending_column() for k in table.order]
+        group, rank = (f"{HIDDEN}{next_hidden(table.df.columns) + i}" for i in range(2))
+        # A few rows of every task are less than the shuffles of the tree.
+        fans = FANS if count > FEW_ROWS else ()
+        dealt = table.df.withColumn(group, F.xxhash64(*[col(k.column) for k in table.order]))
+        for groups in fans:
+            window = Window.partitionBy(F.pmod(col(group), F.lit(groups))).orderBy(*order)
+            dealt = dealt.withColumn(rank, F.row_number().over(window)).where(col(rank) <= count)
+        return replace(table, df=dealt.drop(group, rank).orderBy(*order).limit(count))

@@ -15,22 +15,24 @@ from pyspark.sql import functions as F
 
 from ..config import build, under_root
 from ..errors import ConfigError
-from ..history import METRIC_LIMIT, METRICS, checked_metrics
+from ..history import METRICS, checked_metrics
 from ..session import scratch_path
+from ..operators.flatten import FlattenDocument
 from ..operators.rows import LimitRows
 from ..sinks import storage
 from ..sinks.artifacts import Artifact, ArtifactStore
 from ..sinks.datasets import Lifecycle, append_row, append_rows
 from ..sinks.relational import RelationalSink, Target
 from ..sources.dataset import stored
+from ..sources.documents import JsonSource
 from ..sources.pages import PagedSource, Transport
 from ..sources.relational import Database, RelationalSource
-from ..streaming.checkpoints import CheckpointLifecycle, CheckpointStore, run_with_checkpoint
+from ..streaming.checkpoints import CheckpointStore, run_with_checkpoint
 from ..table import Documents, Table
 from .catalog import Component, component
 
 EVENTS = "run_id string, step string, state string, recorded_at timestamp, " + ", ".join(
-    f"{name} int" for name in METRICS
+    f"{name} bigint" for name in METRICS
 )
 RUNS = "id string, pipeline_id string, state string, finished_at timestamp"
 
@@ -134,8 +136,8 @@ class Pipeline:
             append_row(context.spark, path, dict(zip(names, row)), RUNS)
 
         if _incremental(source.operator) and context.checkpoints is not None:
-            lifecycle = CheckpointLifecycle(context.checkpoints, context.pipeline_id, source.name)
-            candidate = run_with_checkpoint(lifecycle, run_id, work, record_run)
+            key = (context.pipeline_id, source.name)
+            candidate = run_with_checkpoint(context.checkpoints, key, run_id, work, record_run)
         else:
             try:
                 candidate = work(None)
@@ -168,6 +170,8 @@ class Pipeline:
             pages = pages.materialized(scratch_path(spark, "pages"))
             candidate = _page_candidate(pages) if _incremental(source) else None
             return pages.documents(), candidate
+        if isinstance(source, JsonSource) and isinstance(self.steps[1].operator, FlattenDocument):
+            source = replace(source, check=False)  # flatten reads every document itself
         return source(spark, context.input_root), None
 
     def _transformed(
@@ -223,10 +227,8 @@ class Pipeline:
         """One event row per step."""
         rows = []
         for step, values in metrics.items():
-            # Counters beyond the 32 bits of the event table are left out of it.
-            fitting = {k: v for k, v in values.items() if v is not None and v < METRIC_LIMIT}
             row = {"run_id": run_id, "step": step, "state": "step_succeeded"}
-            rows.append(row | {"recorded_at": datetime.now(UTC)} | checked_metrics(fitting))
+            rows.append(row | {"recorded_at": datetime.now(UTC)} | checked_metrics(values))
         append_rows(context.spark, f"{context.output_root}/history/events", rows, EVENTS)
 
 

@@ -21,6 +21,8 @@ SETTINGS = {
     # Joins by run or owner may meet a hot key; adaptive execution splits it.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Ranks are cut before their shuffle too, however many rows are kept.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     "spark.sql.parquet.compression.codec": "zstd",
 }
 

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataError, SchemaError
-from ..functions.text import strip
 from ..session import small_frame
 from ..sources.dataset import in_file_order
-from ..sources.documents import checked
+from ..sources.documents import compact
 from ..table import HIDDEN, Documents, OrderKey, Table, col
 from . import storage
 
@@ -126,12 +125,9 @@ class DatasetStore:
         location = self._location(lifecycle)
         documents = documents.assembled()
         keys = [k.ascending_column() for k in documents.order]
-        rows = documents.df.withColumn("body", checked(F.col("body")))
+        rows = documents.df.withColumn("body", compact(F.col("body")))
         rows = rows.orderBy(*keys) if keys else rows
-        # The JSON path function unquotes a text document; keep its own spelling.
-        bare = strip(F.col("body"))
-        compact = F.when(bare.startswith('"'), bare).otherwise(F.get_json_object("body", "$"))
-        rows.select(compact.alias("value")).write.mode("errorifexists").text(location)
+        rows.select(F.col("body").alias("value")).write.mode("errorifexists").text(location)
         return self._record("document", "json", location, "[]", lifecycle)
 
     def open(self, dataset_id: str) -> Table | Documents:

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import option
+from ..config import check_value, option, whole_number
 from ..errors import ConfigError
 from ..functions.casts import as_text
 from ..table import Table, col
 
 
+ROWS_PER_ARRAY = 100_000
+
+
 def file_name(value: str) -> str:
     bad = not isinstance(value, str) or not value.strip() or "/" in value or "\\" in value
     if bad or value in (".", ".."):
@@ -54,14 +57,15 @@ class CsvSink:
 
 @dataclass(frozen=True)
 class JsonSink:
-    """Row objects with nulls present, as JSON lines or as JSON arrays.
+    """Row objects with nulls present, as JSON arrays or as JSON lines.
 
-    With `rows_per_array` every part file is one complete array of at most that many
-    rows, so no file depends on the size of the table.
+    Every part file is one complete array of at most `rows_per_array` rows, which is a
+    document a JSON source reads, so no file depends on the size of the table.
     """
 
     file_name: str = option("text", key="fileName")
-    rows_per_array: int | None = None
+    layout: str = option("select", choices=("arrays", "lines"), default="arrays")
+    rows_per_array: int = option("number", key="rowsPerArray", default=ROWS_PER_ARRAY)
     keep_order: bool = True
 
     format = "json"
@@ -69,16 +73,16 @@ class JsonSink:
 
     def __post_init__(self) -> None:
         file_name(self.file_name)
-        if self.rows_per_array is not None and self.rows_per_array < 1:
-            raise ConfigError("rows_per_array must be positive.")
+        check_value("select", "layout", self.layout, ("arrays", "lines"))
+        whole_number(self.rows_per_array, "rowsPerArray", 1)
 
     def write(self, table: Table, path: str) -> None:
         df = table.ordered_frame() if self.keep_order else table.frame()
         lines = df.select(json_object(df).alias("value"))
-        if self.rows_per_array is None:
+        if self.layout == "lines":
             lines.write.mode("errorifexists").text(path)
         else:
-            arrays = lines.mapInArrow(_array_writer(self.rows_per_array), "value string")
+            arrays = lines.mapInArrow(_array_writer(int(self.rows_per_array)), "value string")
             arrays.write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
 
 

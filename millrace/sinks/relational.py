@@ -8,6 +8,8 @@ then stages the same keys twice, and the transaction takes each key once.
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
@@ -26,6 +28,7 @@ from ..table import Table, col, require_columns
 from . import storage
 
 MODES = ("replace", "append")
+LOG = logging.getLogger(__name__)
 STAGE_PART, STAGE_ROW = "stage_part", "stage_row"
 
 
@@ -93,7 +96,8 @@ def statements(relation: str, columns: Sequence[str], mode: str, run_id: str) ->
 
 
 def stage_name(run_id: str) -> str:
-    return "stage_" + "".join(c for c in run_id if c.isalnum())[:48]
+    """A name of its own for every run id, however long and whatever it is spelled with."""
+    return "stage_" + hashlib.sha256(run_id.encode()).hexdigest()[:48]
 
 
 @dataclass(frozen=True)
@@ -114,22 +118,18 @@ class JdbcTarget:
         try:
             connection.setAutoCommit(True)
             _execute(connection, [sql.drop_stage, sql.create_stage])
-            try:
-                (self.load or self._load)(staged, quote_identifier(stage_name(run_id)))
-                connection.setAutoCommit(False)
-                try:
-                    _execute(connection, sql.deliver)
-                    connection.commit()
-                except Exception:
-                    connection.rollback()
-                    raise
-            finally:
-                connection.setAutoCommit(True)
-                _execute(connection, [sql.drop_stage])
+            (self.load or self._load)(staged, quote_identifier(stage_name(run_id)))
+            connection.setAutoCommit(False)
+            _execute(connection, sql.deliver)
+            connection.commit()
         except Exception:
+            _quietly(connection.rollback)
             raise DataError("The table was not delivered; its transaction was rolled back.") from None
         finally:
-            connection.close()
+            # What happens from here on leaves the outcome as it is.
+            _quietly(lambda: connection.setAutoCommit(True))
+            _quietly(lambda: _execute(connection, [sql.drop_stage]))
+            _quietly(connection.close)
 
     @staticmethod
     def _fixed_rows(table: Table) -> DataFrame:
@@ -162,6 +162,13 @@ class JdbcTarget:
             raise DataError("The database could not be reached.") from None
 
 
+def _quietly(clean_up: Callable[[], Any]) -> None:
+    try:
+        clean_up()
+    except Exception:
+        LOG.warning("A clean-up after a delivery failed.")
+
+
 def _execute(connection: Any, texts: Sequence[str]) -> None:
     statement = connection.createStatement()
     try:

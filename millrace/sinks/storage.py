@@ -29,6 +29,21 @@ def matched_bytes(spark: SparkSession, pattern: str) -> int:
     return sum(files.getContentSummary(f.getPath()).getLength() for f in found)
 
 
+def has_empty_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob names a visible file without any byte, also in a folder."""
+    files, location = _handle(spark, pattern)
+    for found in files.globStatus(location) or []:
+        inside = files.listFiles(found.getPath(), True)
+        base = len(found.getPath().toUri().getPath())
+        while inside.hasNext():
+            entry = inside.next()
+            parts = entry.getPath().toUri().getPath()[base:].split("/")
+            hidden = any(p.startswith(("_", ".")) for p in parts if p)
+            if entry.getLen() == 0 and not hidden:
+                return True
+    return False
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, location = _handle(spark, path)
     files.delete(location, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -17,8 +18,9 @@ from .promotion import promoted, promoted_types
 CORRUPT = "__corrupt"
 
 # What Spark's parser shall give for a quoted empty field, which is a text, unlike an
-# empty field without quotes, which is null: a character no text may contain.
-EMPTY_TEXT = "\ufdd0"
+# empty field without quotes, which is null: drawn anew in every process, so that no
+# file can hold it.
+EMPTY_TEXT = f"\ufdd0{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ class DelimitedSource:
         fields = [T.StructField(n, T.StringType()) for n in names]
         checked = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
         reader = self._reader(spark, multi_line)
-        rows = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(checked).csv(path)
+        rows = reader.schema(checked).csv(path)
         texts = rows.select(*[_with_empty_texts(n) for n in names], CORRUPT)
         types, (corrupt,) = promoted_types(texts, names, F.count(col(CORRUPT)))
         if corrupt:
@@ -96,6 +98,7 @@ class DelimitedSource:
             mode="PERMISSIVE",
             nullValue="",
             emptyValue=EMPTY_TEXT,
+            columnNameOfCorruptRecord=CORRUPT,
         )
 
     @staticmethod

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..config import option, relative_path, under_root
 from ..errors import ConfigError, DataError
-from ..functions.shapes import parse_document
+from ..functions.shapes import document_text, parse_document
+from ..sinks import storage
 from ..table import HIDDEN, Documents, OrderKey
 
 LAYOUTS = ("file", "lines")
@@ -23,12 +24,12 @@ class JsonSource:
     """Read JSON documents: one per file, or one per line with `layout="lines"`.
 
     Lines files are split among tasks.  Text that is not JSON fails the job; flatten
-    checks every document anyway, so `check=False` spares the second look.  Spark
-    skips files without any byte.
+    checks every document anyway, so `check=False` spares the second look.  A file
+    without any byte is no document, which Spark's readers would pass over.
     """
 
     source_path: str = option("text", key="sourcePath")
-    layout: str = "file"
+    layout: str = option("select", choices=LAYOUTS, default="file")
     check: bool = True
 
     def __post_init__(self) -> None:
@@ -38,6 +39,8 @@ class JsonSource:
 
     def __call__(self, spark: SparkSession, root: str) -> Documents:
         path = under_root(root, relative_path(self.source_path))
+        if self.layout == "file" and storage.has_empty_file(spark, path):
+            raise DataError("A document is not valid JSON.")
         try:
             if self.layout == "file":
                 files = spark.read.format("binaryFile").load(path)
@@ -67,6 +70,16 @@ def checked(body: Column) -> Column:
     return F.when(_is_document(body), body).otherwise(failure.cast("string"))
 
 
+def compact(body: Column) -> Column:
+    """Each document on one line in its shortest spelling, or an error if it is not JSON."""
+    return _shortest(body)
+
+
+@F.pandas_udf(T.StringType())
+def _shortest(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda body: document_text(parse_document(body if body is not None else "")))
+
+
 @F.pandas_udf(T.BooleanType())
 def _is_document(bodies: pd.Series) -> pd.Series:
     return bodies.map(_parses).astype(bool)

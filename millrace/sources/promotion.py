@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..table import col
 
 # The spellings a text column must have throughout to be promoted.
-INTEGER = r"^-?[0-9]+$"
-FLOAT = r"^[+-]?([0-9]*\.[0-9]+([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+|[0-9]+\.|inf|NaN)$"
-BOOLEAN = r"(?i)^(true|false)$"
+INTEGER = r"\A-?[0-9]+\z"
+FLOAT = r"\A[+-]?([0-9]*\.[0-9]+([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+|[0-9]+\.|inf|NaN)\z"
+BOOLEAN = r"(?i)\A(true|false)\z"
 
 
 def _is_integer(value: Column) -> Column:

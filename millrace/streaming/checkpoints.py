@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
@@ -76,53 +75,28 @@ class CheckpointStore:
         return True
 
 
-@dataclass
-class CheckpointLifecycle:
-    """One source's candidate, held back until its run has succeeded."""
-
-    store: CheckpointStore
-    pipeline_id: str
-    source_id: str
-    _candidate: str | None = field(default=None, init=False)
-
-    def load(self) -> Any:
-        return self.store.load(self.pipeline_id, self.source_id)
-
-    def propose(self, value: Any) -> None:
-        self._candidate = checked_json(value)
-
-    def discard(self) -> None:
-        self._candidate = None
-
-    def commit(self, run_id: str, state: str) -> bool:
-        candidate, self._candidate = self._candidate, None
-        if candidate is None:
-            return False
-        return self.store.commit(
-            self.pipeline_id, self.source_id, json.loads(candidate), run_id, state
-        )
-
-
 def run_with_checkpoint(
-    lifecycle: CheckpointLifecycle,
+    store: CheckpointStore,
+    key: tuple[str, str],
     run_id: str,
     work: Callable[[Any], Any],
     record_run: Callable[[str], None] = lambda state: None,
 ) -> Any:
-    """Load, work, record the run, then commit.
+    """Work from the value stored under `key` (pipeline, source), and store the next one.
 
-    `work` takes the checkpoint, delivers its output and returns the candidate or
-    None.  The commit comes last: if it fails the run stays successful and its rows
+    `work` takes the value, delivers its output and returns the next value or None.
+    Until the run is recorded the next value exists only here, so a run that fails
+    leaves nothing behind; if storing it fails, the run stays successful and its rows
     are read once more.
     """
     try:
-        candidate = work(lifecycle.load())
-        if candidate is not None:
-            lifecycle.propose(candidate)
+        following = work(store.load(*key))
+        if following is not None:
+            checked_json(following)
     except Exception:
-        lifecycle.discard()
         record_run("failed")
         raise
     record_run("succeeded")
-    lifecycle.commit(run_id, "succeeded")
-    return candidate
+    if following is not None:
+        store.commit(*key, following, run_id, "succeeded")
+    return following

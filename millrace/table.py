@@ -98,6 +98,19 @@ class Table:
         """Replace one visible column in place."""
         return self.project(value.alias(name) if c == name else col(c) for c in self.columns)
 
+    def with_tie_breaker(self) -> "Table":
+        """An order column more, a hash of the visible row, behind those there are.
+
+        Rows of one key then differ, so a sort can deal them to several tasks.
+        """
+        name = f"{HIDDEN}{next_hidden(self.df.columns)}"
+        values = [_hashable(col(f.name), f.dataType) for f in self.schema]
+        return replace(
+            self,
+            df=self.df.withColumn(name, F.xxhash64(*values) if values else F.lit(0).cast("long")),
+            order=(*self.order, OrderKey(name)),
+        )
+
     def apply(self, operator: Callable[["Table"], "Table"]) -> "Table":
         return operator(self)
 
@@ -164,6 +177,12 @@ class Documents:
         )
 
 
+def _hashable(value: Column, data_type: T.DataType) -> Column:
+    """Types that cannot be hashed count as their text."""
+    text = data_type.simpleString()
+    return F.to_json(value) if "map<" in text or "variant" in text else value
+
+
 def require_columns(available: Iterable[str], wanted: Iterable[str]) -> None:
     known = set(available)
     missing = [c for c in wanted if c not in known]

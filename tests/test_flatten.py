@@ -219,3 +219,34 @@ def test_regular_documents_take_the_typed_plan(spark, seed):
     columns = list(dict.fromkeys(c for row in expected for c, _ in row))
     wanted = [tuple(dict(row).get(c) for c in columns) for row in expected]
     assert flat(spark, bodies, "typed", array_mode="explode") == (columns, wanted)
+
+
+# -- what a reader must not lose ---------------------------------------------------
+
+
+def big_number(digits):
+    return "0." + "1" * digits
+
+
+def test_long_texts_and_numbers_keep_their_documents(spark):
+    long = "x" * 21_000_000
+    docs = documents(spark, [f'{{"a":"{long}","b":1}}', f'{{"a":"s","b":{big_number(1200)}}}'])
+    out = FlattenDocument()(docs).frame().selectExpr("length(a) AS a", "b").collect()
+    assert sorted((r.a, round(r.b, 3)) for r in out) == [(1, 0.111), (21_000_000, 1.0)]
+    wrapped = documents(spark, [f'{{"r":[{{"a":{big_number(1200)}}},{{"a":2}}]}}'])
+    assert FlattenDocument(["r"])(wrapped).frame().count() == 2
+    root = documents(spark, [f'[{{"a":{big_number(1200)},"t":[1,2,3]}}]'])
+    assert FlattenDocument([], "explode")(root).frame().count() == 3
+
+
+def test_no_key_is_special(spark):
+    docs = documents(spark, ['{"_corrupt_record":"x","b":1}'])
+    assert [tuple(r) for r in FlattenDocument()(docs).frame().collect()] == [("x", 1)]
+
+
+def test_a_document_that_does_not_fit_is_an_error(spark):
+    flatten = FlattenDocument()
+    shape = flatten.discover(documents(spark, ['{"a":1}']))
+    for body in ("no json", '{"a":"text"}'):
+        with pytest.raises(Exception, match="could not be read"):
+            flatten(documents(spark, [body]), shape).frame().collect()

@@ -101,6 +101,7 @@ def test_expiry_counts_whole_days(spark):
 
 def test_metrics_are_plain_counters():
     assert history.checked_metrics({"records_read": 3})["records_read"] == 3
-    for bad in ({"records_read": -1}, {"rows": 1}, {"duration_ms": True}, {"bytes_read": 2**31}, {"bytes_read": 1.5}):
+    assert history.checked_metrics({"bytes_read": 2**50})["bytes_read"] == 2**50
+    for bad in ({"records_read": -1}, {"rows": 1}, {"duration_ms": True}, {"bytes_read": 1.5}):
         with pytest.raises(ValueError):
             history.checked_metrics(bad)

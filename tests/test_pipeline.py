@@ -201,12 +201,10 @@ def test_a_failing_commit_leaves_the_run_successful(spark, scratch):
         def commit(self, *arguments):
             raise OSError("lost")
 
-    from millrace.streaming.checkpoints import CheckpointLifecycle
-
     states = []
-    lifecycle = CheckpointLifecycle(Broken(spark, f"{scratch}/c"), "p", "s")
+    store = Broken(spark, f"{scratch}/c")
     with pytest.raises(OSError):
-        run_with_checkpoint(lifecycle, "r", lambda value: 1, states.append)
+        run_with_checkpoint(store, ("p", "s"), "r", lambda value: 1, states.append)
     assert states == ["succeeded"]
 
 

@@ -165,3 +165,28 @@ def test_empty_tables(spark):
         LimitRows(3),
     ):
         assert operator(table).ordered_frame().collect() == []
+
+
+def test_a_large_limit_is_lazy_and_no_task_gets_all(spark):
+    table = SortRows([{"column": "k"}])(Table.of(spark.range(0, 60_000, 1, 8).selectExpr("id", "id % 7 AS k"), ["id"]))
+    cut = LimitRows(5000)(table)
+    plan = cut.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "TakeOrderedAndProject" in plan
+    got = [(r.k, r.id) for r in cut.sorted_frame().collect()]
+    want = sorted(((i % 7, i) for i in range(60_000)))[:5000]
+    assert got == want
+
+
+def test_a_sort_of_few_keys_is_split(spark, scratch):
+    df = spark.range(0, 40_000, 1, 4).selectExpr("id % 2 AS k", "id AS v")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    for table in (Table.of(df), Table.of(df, ["v"])):
+        path = f"{scratch}/{len(table.order)}"
+        sorted_ = SortRows([{"column": "k"}])(table)
+        spark.conf.set(merging, "false")
+        try:
+            sorted_.sorted_frame().write.parquet(path)
+        finally:
+            spark.conf.unset(merging)
+        sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_metadata.file_path").count().collect()]
+        assert len(sizes) >= 3 and max(sizes) < 25_000

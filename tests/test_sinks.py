@@ -10,7 +10,7 @@ from millrace.sinks import storage
 from millrace.sinks.artifacts import ArtifactStore
 from millrace.sinks.datasets import DatasetStore, Lifecycle
 from millrace.sinks.files import CsvSink, JsonSink, ParquetSink
-from millrace.sinks.relational import FolderTarget, JdbcTarget, RelationalSink, statements
+from millrace.sinks.relational import FolderTarget, JdbcTarget, RelationalSink, stage_name, statements
 from millrace.sources.delimited import DelimitedSource
 
 RUN = Lifecycle("pipe", "run1")
@@ -18,8 +18,8 @@ RUN = Lifecycle("pipe", "run1")
 
 @pytest.fixture
 def orders(spark):
-    df = spark.createDataFrame([(2, 9.0), (1, 12.5)], "order_id bigint, total double")
-    return Table.of(df.coalesce(1), ["order_id"])
+    df = spark.createDataFrame([(41, 6.0), (40, 0.75)], "shelf bigint, weight double")
+    return Table.of(df.coalesce(1), ["shelf"])
 
 
 def text(path, spark):
@@ -34,8 +34,8 @@ def rows(table):
 def test_csv_text(spark, scratch, orders):
     CsvSink("orders.csv").write(orders, f"{scratch}/o")
     parts = text(f"{scratch}/o", spark)
-    assert "".join(p.replace("order_id,total\n", "") for p in parts) == "1,12.5\n2,9.0\n"
-    assert all(p.startswith("order_id,total\n") for p in parts)
+    assert "".join(p.replace("shelf,weight\n", "") for p in parts) == "40,0.75\n41,6.0\n"
+    assert all(p.startswith("shelf,weight\n") for p in parts)
 
 
 def test_csv_keeps_nulls_empty_texts_quotes_and_spaces_apart(spark, scratch):
@@ -51,7 +51,7 @@ def test_json_lines_and_arrays(spark, scratch):
     df = spark.createDataFrame([(i, None if i % 2 else "é") for i in range(5)], "n int, v string")
     table = Table.of(df.coalesce(1), ["n"])
     want = [{"n": i, "v": None if i % 2 else "é"} for i in range(5)]
-    JsonSink("a.json").write(table, f"{scratch}/lines")
+    JsonSink("a.json", layout="lines").write(table, f"{scratch}/lines")
     lines = "".join(text(f"{scratch}/lines", spark)).splitlines()
     assert [json.loads(x) for x in lines] == want
     JsonSink("a.json", rows_per_array=2).write(table, f"{scratch}/arrays")
@@ -65,7 +65,7 @@ def test_json_keeps_microseconds(spark, scratch):
     df = spark.sql(f"SELECT TIMESTAMP_NTZ'{moment}' AS plain, TIMESTAMP'{moment}' AS zoned")
     JsonSink("a.json").write(Table.of(df), f"{scratch}/a")
     want = {"plain": "2024-01-02T03:04:05.000006", "zoned": "2024-01-02T03:04:05.000006Z"}
-    assert json.loads("".join(text(f"{scratch}/a", spark))) == want
+    assert json.loads("".join(text(f"{scratch}/a", spark))) == [want]
 
 
 def test_parquet_keeps_a_sort(spark, scratch):
@@ -81,9 +81,9 @@ def test_positions_and_large_limits(spark):
     df = spark.range(0, 5000).repartition(5)
     table = SortRows([{"column": "id", "descending": True}])(Table.of(df, ["id"]))
     assert [tuple(r) for r in numbered(table, "at").frame().where("id + at <> 4999").collect()] == []
-    cut = LimitRows(1234, one_task=100)(table)
+    cut = LimitRows(1234)(table)
     assert [r[0] for r in cut.sorted_frame().collect()] == list(range(4999, 4999 - 1234, -1))
-    assert LimitRows(1234, one_task=100)(Table.of(df)).frame().count() == 1234
+    assert LimitRows(1234)(Table.of(df)).frame().count() == 1234
 
 
 # -- artifacts --------------------------------------------------------------------
@@ -179,7 +179,7 @@ def test_folder_replace_is_whole_or_not_at_all(spark, scratch, orders):
     target = FolderTarget(scratch, {})
     sink = RelationalSink("orders")
     sink.write(orders, "r1", target)
-    failing = Table(spark.range(4).selectExpr("id AS order_id", "raise_error('x') AS total"))
+    failing = Table(spark.range(4).selectExpr("id AS shelf", "raise_error('x') AS weight"))
     with pytest.raises(Exception):
         sink.write(failing, "r2", target)
     assert spark.read.parquet(f"{scratch}/orders").count() == 2
@@ -250,7 +250,7 @@ def jdbc(connection, staged):
 def test_jdbc_replace_is_one_transaction(spark, orders):
     connection, staged = FakeConnection(), []
     RelationalSink("sales.orders").write(orders, "run-1", jdbc(connection, staged))
-    sql = statements("sales.orders", ["order_id", "total"], "replace", "run-1")
+    sql = statements("sales.orders", ["shelf", "weight"], "replace", "run-1")
     auto, manual = ("auto", True), ("auto", False)
     assert connection.log == [
         auto, sql.drop_stage, sql.create_stage,
@@ -258,13 +258,13 @@ def test_jdbc_replace_is_one_transaction(spark, orders):
     ]
     assert sql.deliver[0] == 'TRUNCATE TABLE "sales"."orders"'
     stage, rows_ = staged[0]
-    assert stage == '"stage_run1"'
-    assert [r[:2] for r in rows_] == [(1, 12.5), (2, 9.0)]
+    assert stage == f'"{stage_name("run-1")}"' and len(stage) <= 65
+    assert [r[:2] for r in rows_] == [(40, 0.75), (41, 6.0)]
     assert len({r[2:] for r in rows_}) == 2
 
 
 def test_jdbc_append_skips_conflicts_and_failures_roll_back(spark, orders):
-    sql = statements("orders", ["order_id"], "append", "r")
+    sql = statements("orders", ["shelf"], "append", "r")
     assert len(sql.deliver) == 1 and sql.deliver[0].endswith("ON CONFLICT DO NOTHING")
     connection = FakeConnection(fail_on="INSERT")
     with pytest.raises(DataError, match="rolled back") as error:
@@ -293,3 +293,56 @@ def test_dedup_then_write_keeps_the_order(spark, scratch):
     ParquetSink("a.parquet").write(DeduplicateRows(["k"])(Table.of(df, ["n"])), f"{scratch}/a")
     out = spark.read.parquet(f"{scratch}/a").orderBy("_metadata.file_path", "_metadata.row_index")
     assert [r.n for r in out.collect()] == list(range(50))
+
+
+def test_a_clean_up_that_fails_leaves_a_delivery_delivered(spark, orders):
+    connection = FakeConnection()
+    sql = statements("t", ["shelf", "weight"], "replace", "r")
+    jdbc(connection, []).deliver(orders, "t", "replace", "r")
+    broken = FakeConnection()
+    broken.close = lambda: (_ for _ in ()).throw(OSError("gone"))
+    drops = iter([None])
+
+    def execute(statement, text, plain=FakeStatement.execute):
+        if text == sql.drop_stage and next(drops, "again") == "again":
+            raise OSError("gone")
+        plain(statement, text)
+
+    original, FakeStatement.execute = FakeStatement.execute, execute
+    try:
+        jdbc(broken, []).deliver(orders, "t", "replace", "r")
+    finally:
+        FakeStatement.execute = original
+    assert "COMMIT" in broken.log and "ROLLBACK" not in broken.log
+
+
+def test_stage_names_differ_for_runs_alike():
+    names = {stage_name(run) for run in ("a-b", "ab", "x" * 60 + "1", "x" * 60 + "2")}
+    assert len(names) == 4 and all(len(n) <= 63 for n in names)
+
+
+def test_large_documents_are_stored_whole(spark, scratch):
+    body = json.dumps({"a": "x" * 21_000_000, "_corrupt_record": 1, "n": [1.5, "\u2028", None]})
+    store = DatasetStore(spark, scratch)
+    kept = store.persist_documents(Documents.of(spark.createDataFrame([(body,)], "v string"), "v"), RUN)
+    back = store.documents(kept).df.select("body").collect()
+    assert len(back) == 1 and json.loads(back[0][0]) == json.loads(body)
+
+
+def test_exported_json_is_read_by_a_pipeline(spark, scratch):
+    from millrace.plans.pipeline import Context, Pipeline
+
+    rows_ = spark.createDataFrame([(i, None if i % 3 else f"v{i}") for i in range(50)], "n bigint, v string")
+    CsvSink("a.csv").write(Table.of(rows_, ["n"]), f"{scratch}/in/a")
+    export = {"type": "export.json", "config": {"fileName": "o.json", "rowsPerArray": 7}}
+    first = Pipeline.of([{"type": "source.csv", "config": {"sourcePath": "a"}}, export])
+    artifact = first.run(Context(spark, f"{scratch}/in", f"{scratch}/out")).artifact
+    folder = artifact.location.removeprefix(f"{scratch}/out/")
+    second = Pipeline.of([
+        {"type": "source.json", "config": {"sourcePath": folder, "layout": "file"}},
+        {"type": "transform.document.flatten", "config": {}},
+        {"type": "export.parquet", "config": {"fileName": "o.parquet"}},
+    ])
+    result = second.run(Context(spark, f"{scratch}/out", f"{scratch}/out2"))
+    back = spark.read.parquet(result.artifact.location)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows_.collect()), key=str)

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -8,6 +9,7 @@ from millrace import ConfigError, DataError, FlattenDocument, SchemaError
 from millrace.sources.delimited import DelimitedSource
 from millrace.sources.documents import JsonSource
 from millrace.sources.pages import PagedSource
+from millrace.sources.relational import RelationalSource
 from millrace.sources.workbook import WorkbookSource
 
 
@@ -184,17 +186,17 @@ def put_book(scratch, name, *args, **kwargs):
 
 
 def test_workbook_named_sheet(spark, scratch):
-    sheets = {"Other": [["v"], [1]], "Orders": [["order_id", "total"], [3, 12.5], [4, 9]]}
+    sheets = {"Prices": [["v"], [1]], "Stock": [["shelf", "weight"], [70, 0.25], [81, 6]]}
     put_book(scratch, "a.xlsx", sheets)
-    table = WorkbookSource("a.xlsx", sheet_name="Orders")(spark, scratch)
+    table = WorkbookSource("a.xlsx", sheet_name="Stock")(spark, scratch)
     assert types(table) == ["bigint", "double"]
-    assert rows(table) == [(3, 12.5), (4, 9.0)]
+    assert rows(table) == [(70, 0.25), (81, 6.0)]
 
 
 def test_workbook_first_sheet_without_header(spark, scratch):
-    put_book(scratch, "a.xlsx", {"S": [[3, 12.5], [4, 9]]})
+    put_book(scratch, "a.xlsx", {"S": [[70, 0.25], [81, 6]]})
     table = WorkbookSource("a.xlsx", has_header=False)(spark, scratch)
-    assert table.columns == ["column_1", "column_2"] and rows(table) == [(3, 12.5), (4, 9.0)]
+    assert table.columns == ["column_1", "column_2"] and rows(table) == [(70, 0.25), (81, 6.0)]
 
 
 def test_workbook_cell_types(spark, scratch):
@@ -254,11 +256,11 @@ class FakeApi:
 
 
 def page(ids, token, mark=None):
-    return {"data": [{"id": i} for i in ids], "paging": {"next": token}, "meta": {"mark": mark}}
+    return {"rows": [{"id": i} for i in ids], "more": {"after": token}, "seen": {"upto": mark}}
 
 
 def paged(**settings):
-    return PagedSource(FIRST, next_page_path="paging.next", **settings)
+    return PagedSource(FIRST, next_page_path="more.after", **settings)
 
 
 def test_pages_follow_tokens(spark):
@@ -266,7 +268,7 @@ def test_pages_follow_tokens(spark):
     pages = paged()(spark, api)
     document = pages.documents().assembled().df.select("body").collect()
     assert len(document) == 1
-    assert [p["data"] for p in json.loads(document[0]["body"])["pages"]] == [
+    assert [p["rows"] for p in json.loads(document[0]["body"])["pages"]] == [
         [{"id": 1}, {"id": 2}],
         [{"id": 3}],
     ]
@@ -289,7 +291,7 @@ def test_pages_of_many_endpoints_in_parallel(spark):
 
 
 def test_page_checkpoints(spark):
-    source = paged(checkpoint_path="meta.mark", checkpoint_parameter="since")
+    source = paged(checkpoint_path="seen.upto", checkpoint_parameter="since")
     first = {FIRST: page([1], "t", "Abc"), FIRST + "&page=t": page([2], None, "Def")}
     last = source(spark, FakeApi(first)).checkpoints().collect()
     assert [(r.pageToken, json.loads(r.value)) for r in last] == [(None, "Def")]
@@ -338,3 +340,50 @@ def test_page_errors(spark, pages, message):
 def test_page_configurations(settings):
     with pytest.raises(ConfigError):
         PagedSource(**settings)
+
+
+# -- limits that must not be there -------------------------------------------------
+
+
+def put(scratch, name, text):
+    with open(f"{scratch}/{name}", "w", newline="") as file:
+        file.write(text)
+
+
+def test_csv_columns_and_values_are_not_special(spark, scratch):
+    put(scratch, "a.csv", 'n,_corrupt_record\n1,\ufdd0\n2,""\n3,\n')
+    table = DelimitedSource("a.csv")(spark, scratch)
+    assert rows(table) == [(1, "\ufdd0"), (2, ""), (3, None)]
+
+
+def test_padded_and_broken_digits_stay_text(spark, scratch):
+    put(scratch, "a.csv", 'a,b,c\n"1\n", 2,3\n"4",5,6\n')
+    table = DelimitedSource("a.csv")(spark, scratch)
+    assert types(table) == ["string", "string", "bigint"]
+
+
+def test_an_empty_file_is_no_document(spark, scratch):
+    os.makedirs(f"{scratch}/docs")
+    put(scratch, "docs/a.json", '{"a":1}')
+    put(scratch, "docs/_SUCCESS", "")
+    assert JsonSource("docs")(spark, scratch).df.count() == 1
+    put(scratch, "docs/b.json", "")
+    with pytest.raises(DataError, match="not valid JSON"):
+        JsonSource("docs")(spark, scratch)
+
+
+def test_pages_explode_without_being_assembled(spark):
+    api = FakeApi({FIRST: page([1, 2], "t2"), FIRST + "&page=t2": page([3], None)})
+    documents = paged()(spark, api).documents()
+    table = FlattenDocument([], "explode")(documents)
+    whole = FlattenDocument([], "explode")(documents.assembled())
+    assert table.columns == whole.columns and "pages.rows.id" in table.columns
+    assert rows(table) == rows(whole) and len(rows(table)) == 3
+    assert "collect_list" not in table.df._jdf.queryExecution().toString()
+
+
+def test_partition_column_by_configuration():
+    source = RelationalSource("jdbc:x", table="t", partition_column="k")
+    assert source.partition_column == "k"
+    with pytest.raises(ConfigError):
+        RelationalSource("jdbc:x", table="t", partition_column="k; drop")

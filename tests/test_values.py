@@ -163,3 +163,10 @@ def test_missing_column(spark):
     ):
         with pytest.raises(SchemaError):
             operator(table)
+
+
+def test_a_trailing_line_break_is_no_digit(spark):
+    df = spark.createDataFrame([("5\n",), ("5",), (" 5",)], "v string")
+    for target, value in (("integer", 5), ("float", 5.0)):
+        table = CastColumn("v", target, strict=False)(Table.of(df))
+        assert {r.v for r in table.frame().collect()} == {None, value}

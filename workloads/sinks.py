@@ -14,7 +14,7 @@ from millrace.sinks.relational import FolderTarget, RelationalSink
 from millrace.sources.dataset import scan
 from millrace.sources.documents import JsonSource
 from millrace.sources.relational import CatalogDatabase
-from millrace.streaming.checkpoints import CheckpointLifecycle, CheckpointStore, run_with_checkpoint
+from millrace.streaming.checkpoints import CheckpointStore, run_with_checkpoint
 from millrace.streaming.files import run_new_files
 
 from .registry import ordered, query
@@ -213,7 +213,6 @@ def inc_discard(load, spark):
 def inc_lifecycle(load, spark):
     """What four runs load when the second fails: nothing, one value twice, the next."""
     store = CheckpointStore(spark, scratch_path(spark, "checkpoints"))
-    lifecycle = CheckpointLifecycle(store, "pipe", "source")
     loaded = []
 
     def work(bound, fail):
@@ -221,7 +220,6 @@ def inc_lifecycle(load, spark):
             loaded.append((len(loaded) + 1, checkpoint))
             value = load("events").where(F.col("user_id") < bound).agg(F.max("event_id")).first()[0]
             if fail:
-                lifecycle.propose(value)
                 raise OSError("lost")
             return value
 
@@ -229,7 +227,7 @@ def inc_lifecycle(load, spark):
 
     for number, (bound, fail) in enumerate([(50, False), (100, True), (100, False), (150, False)]):
         try:
-            run_with_checkpoint(lifecycle, f"run{number}", work(bound, fail))
+            run_with_checkpoint(store, ("pipe", "source"), f"run{number}", work(bound, fail))
         except OSError:
             pass
     return spark.createDataFrame(loaded, "run int, loaded bigint")
@@ -324,7 +322,7 @@ def run_step_metrics(load, spark):
 def pipe_documents(load, spark):
     root = scratch_path(spark, "inputs")
     df = load("conversations").select("conv_id", F.struct("turn", "role").alias("said"))
-    JsonSink("c.json", rows_per_array=5000).write(Table.of(df), f"{root}/c.json")
+    JsonSink("c.json").write(Table.of(df), f"{root}/c.json")
     steps = [
         {"type": "source.json", "config": {"sourcePath": "c.json"}},
         {"type": "transform.document.flatten", "config": {"array_mode": "explode"}},

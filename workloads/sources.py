@@ -173,11 +173,11 @@ class PageFiles:
         found = files.get_file_info(pafs.FileSelector(place, allow_not_found=True))
         texts = [f.path for f in found if re.search(r"part-[^/]*\.txt$", f.path)]
         if not texts:
-            return json.dumps({"data": [], "meta": {"mark": None}, "paging": {"next": None}}).encode()
+            return json.dumps({"rows": [], "seen": {"upto": None}, "more": {"after": None}}).encode()
         with files.open_input_stream(texts[0]) as stream:
             body = json.loads(stream.read())
         if page >= self.last:
-            body["paging"]["next"] = None
+            body["more"]["after"] = None
         return json.dumps(body).encode()
 
 
@@ -187,11 +187,11 @@ def page_files(load, spark) -> tuple[str, object]:
     endpoint = F.floor(F.col("page_id") / (PAGE_ROWS * PAGES))
     page = F.floor(F.col("page_id") / PAGE_ROWS) % PAGES
     rows = load("pages").select(endpoint.alias("endpoint"), page.alias("page"), "page_id", "url", "html")
-    data = F.sort_array(F.collect_list(F.struct("page_id", "url", "html"))).alias("data")
-    grouped = rows.groupBy("endpoint", "page").agg(data, F.max("page_id").alias("mark"))
+    data = F.sort_array(F.collect_list(F.struct("page_id", "url", "html"))).alias("rows")
+    grouped = rows.groupBy("endpoint", "page").agg(data, F.max("page_id").alias("upto"))
     following = F.when(F.col("page") < PAGES - 1, (F.col("page") + 1).cast("string"))
     body = F.to_json(
-        F.struct("data", F.struct("mark").alias("meta"), F.struct(following.alias("next")).alias("paging")),
+        F.struct("rows", F.struct("upto").alias("seen"), F.struct(following.alias("after")).alias("more")),
         {"ignoreNullFields": "false"},
     )
     bodies = grouped.select("endpoint", "page", body.alias("body"))
@@ -201,13 +201,13 @@ def page_files(load, spark) -> tuple[str, object]:
 
 
 def api(**settings) -> PagedSource:
-    return PagedSource(HOST, next_page_path="paging.next", **settings)
+    return PagedSource(HOST, next_page_path="more.after", **settings)
 
 
 def page_rows(spark, pages):
     stored = pages.materialized(scratch_path(spark, "responses"))
     flat = FlattenDocument(["pages"], "explode")(stored.documents()).frame()
-    names = {f"`data.{c}`": c for c in ("page_id", "url", "html")}
+    names = {f"`rows.{c}`": c for c in ("page_id", "url", "html")}
     return stored, flat.select(*[F.col(a).alias(b) for a, b in names.items()])
 
 
@@ -225,7 +225,7 @@ def src_pages(load, spark):
 def src_pages_incremental(load, spark):
     """A first run sees three pages of every endpoint, the next one what came later."""
     folder, endpoints = page_files(load, spark)
-    source = api(checkpoint_path="meta.mark", checkpoint_parameter="since")
+    source = api(checkpoint_path="seen.upto", checkpoint_parameter="since")
     first, one = page_rows(spark, source.read(endpoints, PageFiles(folder, 0, 2)))
     marks = first.checkpoints().select(F.col("endpoint").alias("url"), "value")
     second, two = page_rows(spark, source.read(marks, PageFiles(folder, 3, PAGES)))

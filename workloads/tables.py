@@ -190,7 +190,7 @@ def lim_head(load, spark):
 
 @query("lim_parallel", f"SELECT * FROM ({SORTABLE_SQL}) ORDER BY {SORTED} LIMIT 9000")
 def lim_parallel(load, spark):
-    return LimitRows(9000, one_task=1000)(sortable(load)).frame()
+    return LimitRows(9000)(sortable(load)).frame()
 
 
 # -- casts -------------------------------------------------------------------------
