@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -29,8 +32,8 @@ class DelimitedSource:
 
     Empty fields are null.  One extra pass decides the column types over all rows
     and checks that every row has the right number of fields.  Files are split
-    among tasks unless a quoted field holds a line break, which another cheap pass
-    finds out; pass `multi_line` to skip it.
+    among tasks but for those with a quoted field that holds a line break, which
+    another cheap pass finds out; pass `multi_line` to skip it.
     """
 
     source_path: str = option("text", key="sourcePath")
@@ -54,30 +57,50 @@ class DelimitedSource:
             raise
 
     def _read(self, spark: SparkSession, path: str) -> Table:
-        multi_line = self.multi_line
-        if multi_line is None:
-            multi_line = self._has_quoted_line_breaks(spark, path)
-        names = self._names(spark, path, multi_line)
+        files = self._by_line_breaks(spark, path)
+        names = self._names(spark, files)
         if any(n.startswith("__") for n in names):
             raise SchemaError("Column names of a delimited source must not start with __.")
         fields = [T.StructField(n, T.StringType()) for n in names]
-        checked = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-        reader = self._reader(spark, multi_line)
-        rows = reader.schema(checked).csv(path)
-        texts = rows.select(*[_with_empty_texts(n) for n in names], CORRUPT)
+        checked = self._rows(spark, files, T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
+        texts = checked.select(*[_with_empty_texts(n) for n in names], CORRUPT)
         types, (corrupt,) = promoted_types(texts, names, F.count(col(CORRUPT)))
         if corrupt:
             raise DataError("The delimited source has rows with another number of fields.")
-        frame = self._reader(spark, multi_line).schema(T.StructType(fields)).csv(path)
         # A column that is not text has no empty texts.
         columns = [
             _with_empty_texts(n) if types[n] == "string" else promoted(n, types[n]) for n in names
         ]
-        return _in_file_order(frame, columns)
+        return _in_file_order(self._rows(spark, files, T.StructType(fields)), columns)
 
-    def _names(self, spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    def _by_line_breaks(self, spark: SparkSession, path: str) -> dict[bool, list[str] | str]:
+        """Which files have fields over several lines; only those are not split.
+
+        A line with an odd number of quotes opens or closes such a field.
+        """
+        if self.multi_line is not None:
+            return {self.multi_line: path}
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        lines = spark.read.text(path)
+        broken = lines.where(quotes % 2 == 1).select(F.input_file_name().alias("file")).distinct()
+        whole = {r.file for r in broken.collect()}  # names of files, which the driver lists anyway
+        if not whole:
+            return {False: path}
+        plain = [f for f in lines.inputFiles() if f not in whole]
+        return {True: sorted(whole)} | ({False: plain} if plain else {})
+
+    def _rows(self, spark: SparkSession, files: dict[bool, list[str] | str], schema: T.StructType) -> DataFrame:
+        """The records of all files with the place of each."""
+        parts = [
+            _loaded(self._reader(spark, multi_line).schema(schema), paths).select("*", *_place())
+            for multi_line, paths in files.items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _names(self, spark: SparkSession, files: dict[bool, list[str] | str]) -> list[str]:
         """The column names, from the first record; Spark would repair doubtful ones."""
-        records = self._reader(spark, multi_line).option("header", False).csv(path)
+        multi_line, paths = next(iter(files.items()))
+        records = _loaded(self._reader(spark, multi_line).option("header", False), paths)
         if not records.columns:
             raise DataError("The delimited source is empty.")
         if not self.has_header:
@@ -101,12 +124,22 @@ class DelimitedSource:
             columnNameOfCorruptRecord=CORRUPT,
         )
 
-    @staticmethod
-    def _has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
-        """A line with an odd number of quotes opens or closes a field over lines."""
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        lines = spark.read.text(path)
-        return bool(lines.where(quotes % 2 == 1).limit(1).count())
+
+def _place() -> list[Column]:
+    """Where a record stands: file, split and place; the last alone mixes splits."""
+    keys = [
+        F.col("_metadata.file_path"),
+        F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id(),
+    ]
+    return [k.alias(f"{HIDDEN}{i}") for i, k in enumerate(keys)]
+
+
+def _loaded(reader: DataFrameReader, paths: list[str] | str) -> DataFrame:
+    """A path or glob as it was given, or files by their encoded names."""
+    if isinstance(paths, str):
+        return reader.csv(paths)
+    return reader.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in paths])
 
 
 def _with_empty_texts(name: str) -> Column:
@@ -114,12 +147,6 @@ def _with_empty_texts(name: str) -> Column:
 
 
 def _in_file_order(df: DataFrame, columns: list) -> Table:
-    """Order rows by file, split and place; the id alone mixes splits."""
-    keys = [
-        F.col("_metadata.file_path"),
-        F.col("_metadata.file_block_start"),
-        F.monotonically_increasing_id(),
-    ]
-    hidden = [k.alias(f"{HIDDEN}{i}") for i, k in enumerate(keys)]
-    order = tuple(OrderKey(f"{HIDDEN}{i}") for i in range(len(keys)))
-    return Table(df.select(*columns, *hidden), order)
+    """The rows in the order of their places."""
+    order = tuple(OrderKey(f"{HIDDEN}{i}") for i in range(3))
+    return Table(df.select(*columns, *[k.column for k in order]), order)

@@ -387,3 +387,13 @@ def test_partition_column_by_configuration():
     assert source.partition_column == "k"
     with pytest.raises(ConfigError):
         RelationalSource("jdbc:x", table="t", partition_column="k; drop")
+
+
+def test_only_files_with_line_breaks_are_read_whole(spark, scratch):
+    os.makedirs(f"{scratch}/d")
+    put(scratch, "d/a [1].csv", "n,v\n1,x\n2,y\n")
+    put(scratch, "d/b c.csv", 'n,v\n3,"p\nq"\n4,z\n')
+    table = DelimitedSource("d")(spark, scratch)
+    assert rows(table) == [(1, "x"), (2, "y"), (3, "p\nq"), (4, "z")]
+    plan = table.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan

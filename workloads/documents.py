@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import DataError, Documents, FlattenDocument
+from millrace.session import scratch_path
+from millrace.sinks.datasets import DatasetStore, Lifecycle
 
 from .registry import query
 
@@ -163,3 +165,44 @@ def doc_rejects(load, spark):
         except DataError:
             rows.append((defect, True))
     return spark.createDataFrame(rows, "defect string, rejected boolean")
+
+
+# -- documents no parser limit may touch ---------------------------------------------
+
+LONG = 21_000_000
+ODD_SQL = f"""SELECT lang, any_value(source) AS _corrupt_record, {LONG}::BIGINT AS size,
+  sha256(rpad(max(text), {LONG}, max(text))) AS digest, 3::BIGINT AS records
+  FROM (SELECT lang, text, 'x' AS source FROM documents) GROUP BY lang"""
+
+
+def long_documents(load):
+    """Per language a document with a text of 21 million characters made of its texts, a
+    number of 1,200 digits in one of its records, and a key the reader once took for its own."""
+    texts = load("documents").groupBy("lang").agg(F.max("text").alias("text"))
+    head = F.to_json(
+        F.struct("lang", F.lit("x").alias("_corrupt_record"), F.rpad("text", LONG, F.col("text")).alias("text"))
+    )
+    number = F.lit("0." + "1" * 1200)
+    records = F.concat(F.lit('"records":[{"n":1.5},{"n":'), number, F.lit('},{"n":2.5}]'))
+    body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), records, F.lit("}"))
+    return Documents.of(texts.select("lang", body.alias("body")), "body", ["lang"])
+
+
+def summarised(table):
+    return (
+        table.frame().groupBy("lang", "_corrupt_record")
+        .agg(F.max(F.length("text")).cast("bigint").alias("size"), F.max(F.sha2("text", 256)).alias("digest"),
+             F.count("`records.n`").alias("records"))
+    )
+
+
+@query("doc_long_values", ODD_SQL)
+def doc_long_values(load, spark):
+    return summarised(FlattenDocument([], "explode")(long_documents(load)))
+
+
+@query("snk_long_documents", ODD_SQL)
+def snk_long_documents(load, spark):
+    store = DatasetStore(spark, scratch_path(spark, "store"))
+    kept = store.persist_documents(long_documents(load), Lifecycle("pipe", "run"))
+    return summarised(FlattenDocument([], "explode")(store.documents(kept)))

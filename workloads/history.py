@@ -86,6 +86,27 @@ def run_deletable(load, spark):
     return history.deletable_runs(runs(load), NOW, logs(load), kept)
 
 
+@query(
+    "run_expired_runs_all",
+    f"SELECT * FROM {RUNS} WHERE expires_at <= {NOW_SQL} AND state <> 'running'",
+)
+def run_expired_runs_all(load, spark):
+    return history.expired_records(runs(load), NOW, limit=None, terminal=True)
+
+
+@query(
+    "run_deletable_unowned",
+    f"""SELECT * FROM {RUNS} r WHERE expires_at <= {NOW_SQL} AND state <> 'running'
+        AND id NOT IN (SELECT run_id FROM {LOGS} WHERE run_id IS NOT NULL)
+        AND id NOT IN (SELECT run_id FROM {DATASETS} WHERE run_id IS NOT NULL)
+        AND id NOT IN (SELECT conv_id FROM conversations)""",
+)
+def run_deletable_unowned(load, spark):
+    """Three dependent tables, none of them filtered."""
+    talks = load("conversations").select(F.col("conv_id").alias("run_id"))
+    return history.deletable_runs(runs(load), NOW, logs(load), datasets(load), talks)
+
+
 @query(
     "run_claims",
     """SELECT event_id, user_id AS owner_id, event_type AS location,

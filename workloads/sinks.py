@@ -315,6 +315,25 @@ def run_step_metrics(load, spark):
     return events.select("step", F.col("records_written").cast("bigint").alias("records_written"))
 
 
+@query("pipe_json", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def pipe_json(load, spark):
+    """One pipeline exports JSON arrays, another reads them back."""
+    root = scratch_path(spark, "inputs")
+    CsvSink("o.csv").write(Table.of(load("orders").drop("o_orderdate", "o_orderpriority")), f"{root}/o.csv")
+    export = {"type": "export.json", "config": {"fileName": "o.json", "rowsPerArray": 3000}}
+    first = Pipeline.of([{"type": "source.csv", "config": {"sourcePath": "o.csv"}}, export])
+    middle = scratch_path(spark, "outputs")
+    artifact = first.run(Context(spark, root, middle)).artifact
+    folder = artifact.location.split(f"{middle.rsplit('/', 1)[1]}/", 1)[1]
+    second = Pipeline.of([
+        {"type": "source.json", "config": {"sourcePath": folder}},
+        {"type": "transform.document.flatten", "config": {}},
+        {"type": "export.parquet", "config": {"fileName": "o.parquet"}},
+    ])
+    result = second.run(Context(spark, middle, scratch_path(spark, "outputs")))
+    return spark.read.parquet(result.artifact.location)
+
+
 @query(
     "pipe_documents",
     """SELECT conv_id, turn, role FROM conversations WHERE role <> 'system'""",

@@ -178,6 +178,19 @@ def srt_multi(load, spark):
     return numbered(sortable(load), "place").frame()
 
 
+@query(
+    "srt_few_keys",
+    """SELECT l_returnflag, first::BIGINT AS first, (first + n - 1)::BIGINT AS last FROM (
+         SELECT l_returnflag, n, sum(n) OVER (ORDER BY l_returnflag) - n AS first
+         FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1))""",
+)
+def srt_few_keys(load, spark):
+    """A table without any order of its own, sorted by a key of three values."""
+    table = SortRows([{"column": "l_returnflag"}])(Table.of(load("lineitem")))
+    placed = numbered(table, "place").frame()
+    return placed.groupBy("l_returnflag").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+
+
 @query("lim_topk", f"SELECT * FROM ({SORTABLE_SQL}) ORDER BY {SORTED} LIMIT 250")
 def lim_topk(load, spark):
     return LimitRows(250)(sortable(load)).frame()
