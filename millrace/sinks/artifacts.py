@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import DataError
 from ..table import Table
 from . import storage
-from .datasets import Lifecycle, append_row
+from .datasets import Lifecycle, append_row, merge_files
 from .files import CsvSink, JsonSink, ParquetSink
 
 ARTIFACTS = (
@@ -102,7 +102,11 @@ class ArtifactStore:
     def manifest(self) -> DataFrame:
         if not storage.exists(self.spark, self.manifest_path):
             return self.spark.createDataFrame([], ARTIFACTS)
-        return self.spark.read.schema(ARTIFACTS).parquet(self.manifest_path)
+        return self.spark.read.schema(ARTIFACTS).parquet(self.manifest_path).distinct()
+
+    def compact(self) -> int:
+        """Bring the manifest, one small file per artifact, together in one."""
+        return merge_files(self.spark, self.manifest_path, ARTIFACTS)
 
     def _append(self, row: dict[str, Any]) -> None:
         append_row(self.spark, self.manifest_path, row, ARTIFACTS)

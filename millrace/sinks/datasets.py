@@ -82,6 +82,20 @@ def append_rows(spark: SparkSession, path: str, rows: list[dict[str, Any]], sche
     records.coalesce(1).write.mode("append").parquet(path)
 
 
+def merge_files(spark: SparkSession, path: str, schema: str) -> int:
+    """Bring the files of an append-only table together; returns how many there were.
+
+    Rows are written anew before their old files go, so a reader may see some twice,
+    never none: readers take distinct rows.  Files that come meanwhile are left alone.
+    """
+    old = storage.visible_files(spark, path)
+    if len(old) > 1:
+        spark.read.schema(schema).parquet(*old).distinct().coalesce(1).write.mode("append").parquet(path)
+        for file in old:
+            storage.remove(spark, file)
+    return len(old)
+
+
 class DatasetStore:
     """Datasets below one root that all executors reach."""
 
@@ -176,7 +190,11 @@ class DatasetStore:
     def manifest(self) -> DataFrame:
         if not storage.exists(self.spark, self.manifest_path):
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(self.manifest_path)
+        return self.spark.read.schema(MANIFEST).parquet(self.manifest_path).distinct()
+
+    def compact(self) -> int:
+        """Bring the manifest, one small file per dataset, together in one."""
+        return merge_files(self.spark, self.manifest_path, MANIFEST)
 
     def _opened(self, dataset: str | Descriptor) -> Table | Documents:
         return self.open(dataset) if isinstance(dataset, str) else self.open_descriptor(dataset)

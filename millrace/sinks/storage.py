@@ -44,6 +44,15 @@ def has_empty_file(spark: SparkSession, pattern: str) -> bool:
     return False
 
 
+def visible_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files directly in a folder; none if there is no folder."""
+    files, location = _handle(spark, path)
+    if not files.exists(location):
+        return []
+    found = [f.getPath() for f in files.listStatus(location) if f.isFile()]
+    return sorted(p.toString() for p in found if not p.getName().startswith(("_", ".")))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, location = _handle(spark, path)
     files.delete(location, True)

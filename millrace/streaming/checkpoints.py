@@ -1,12 +1,13 @@
 """Source checkpoints: one durable JSON value per pipeline and source.
 
-The store is an append-only table; the latest row of a key counts.  A value is
-only proposed while a run is under way and is committed after the run succeeded,
-so a failed run reads the same rows again.
+The store has a folder per key with one row, its latest; older rows go once a newer
+one is written.  A value is committed after its run succeeded, so a failed run reads
+the same rows again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Callable
@@ -51,13 +52,19 @@ class CheckpointStore:
     def table(self) -> DataFrame:
         if not storage.exists(self.spark, self.path):
             return self.spark.createDataFrame([], CHECKPOINTS)
-        return self.spark.read.schema(CHECKPOINTS).parquet(self.path)
+        return self.spark.read.option("recursiveFileLookup", True).schema(CHECKPOINTS).parquet(self.path)
+
+    def _folder(self, pipeline_id: str, source_id: str) -> str:
+        name = hashlib.sha256(json.dumps([pipeline_id, source_id]).encode()).hexdigest()
+        return f"{self.path}/{name[:32]}"
 
     def load(self, pipeline_id: str, source_id: str) -> Any:
         """The latest committed value of a source, or None."""
-        own = (F.col("pipeline_id") == pipeline_id) & (F.col("source_id") == source_id)
+        folder = self._folder(pipeline_id, source_id)
+        if not storage.visible_files(self.spark, folder):
+            return None
         latest = F.max_by("checkpoint", "updated_at").alias("checkpoint")
-        text = self.table().where(own).agg(latest).first()["checkpoint"]
+        text = self.spark.read.schema(CHECKPOINTS).parquet(folder).agg(latest).first()["checkpoint"]
         return None if text is None else json.loads(text)
 
     def commit(self, pipeline_id: str, source_id: str, value: Any, run_id: str, state: str) -> bool:
@@ -71,7 +78,11 @@ class CheckpointStore:
             "run_id": run_id,
             "updated_at": datetime.now(UTC),
         }
-        append_row(self.spark, self.path, row, CHECKPOINTS)
+        folder = self._folder(pipeline_id, source_id)
+        old = storage.visible_files(self.spark, folder)
+        append_row(self.spark, folder, row, CHECKPOINTS)
+        for file in old:
+            storage.remove(self.spark, file)
         return True
 
 

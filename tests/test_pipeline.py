@@ -300,3 +300,22 @@ def test_secrets_are_not_shown():
     assert "s3cret" not in repr(source)
     assert "s3cret" not in repr(RelationalSource("jdbc:s3cret", table="t"))
     assert json.dumps(page([1], None))
+
+
+def test_small_tables_do_not_grow_by_a_file_a_row(spark, scratch):
+    from millrace import Table
+    from millrace.sinks.datasets import DatasetStore, Lifecycle
+
+    store = CheckpointStore(spark, f"{scratch}/c")
+    for value in (1, 2, {"a": [3]}):
+        assert store.commit("p", "s", value, "r", "succeeded")
+    store.commit("p", "other", "x", "r", "succeeded")
+    assert store.load("p", "s") == {"a": [3]} and store.load("p", "other") == "x" and store.load("q", "s") is None
+    assert store.table().count() == 2
+
+    datasets = DatasetStore(spark, f"{scratch}/d")
+    kept = [datasets.persist(Table.of(spark.range(n)), Lifecycle("p", f"r{n}")) for n in range(3)]
+    before = sorted(map(tuple, datasets.manifest().collect()))
+    assert datasets.compact() == 3 and datasets.compact() == 1
+    assert sorted(map(tuple, datasets.manifest().collect())) == before
+    assert datasets.table(kept[2].id).frame().count() == 2
