@@ -3,8 +3,10 @@
 A text's set is its distinct shingles of `words` words.  Equal sets are one set.  Two
 linked sets of sizes a and b differ in at most d = (a + b)(1 - t)/(1 + t) shingles, so
 when the hash range is cut in more than d parts, some part is equal in both.  Sets that
-share a part are candidates of one another; their connected components, found from one
-light row per part, are the units of the join.  Each set travels once, to its unit.
+share a part are candidates of one another, found from one light row per part.  Pairs
+whose outlines - shingle counts by hash range - already differ by more than d are dropped,
+which loses no link; the components of the others are the units of the join.  A text
+travels once, to its unit.
 
 In a unit the sets are ordered by one global order (frequent shingles first, then by
 hash) and stored in a trie.  A traversal in depth-first order keeps the partial overlap
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from .frames import partitions, ready, renamed, text_of, with_row_name, written
 from .graph import components
-from .text import Words, groups, mix, prefix_sums, rolling, slices, span_hashes
+from .text import Words, blobs, groups, mix, prefix_sums, rolling, slices, span_hashes
 
 WORDS = 3
 PERCENT = 90
@@ -44,12 +46,12 @@ def most_differing(total, percent: int):
 
 @functools.cache
 def part_plan(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part counts in use, each about a quarter more than the one before, and for each
-    the most shingles two sets may differ in: the parts that are surely equal then outnumber
-    the empty parts to be expected in sets of that size, but for rare sets."""
+    """The part counts in use, each at most 1.6 times the one before, and for each the most
+    shingles two sets may differ in: the parts that are surely equal then outnumber the empty
+    parts to be expected in sets of that size, but for rare sets."""
     counts = [1]
     while counts[-1] < 1 << 30:
-        counts.append(max(counts[-1] + 1, counts[-1] * 5 // 4))
+        counts.append(max(counts[-1] + 1, counts[-1] * 8 // 5))
     parts = np.array(counts, dtype=np.int64)
     filling = (100 + percent) / (2 * (100 - percent))  # shingles a part, about
     empty = parts * np.exp(-filling)
@@ -57,6 +59,10 @@ def part_plan(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return parts, np.maximum.accumulate(parts - 1 - spare)
 
 
+def outline_bits(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) / 4)), 3).astype(np.int64)
+
+
 class Sets:
     """The sorted distinct shingle hashes of several texts."""
 
@@ -91,6 +97,18 @@ class Sets:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.values ^ np.uint64(0x5851F42D4C957F2D)))])
         return mix((sums[self.first[1:]] - sums[self.first[:-1]]) ^ self.sizes.astype(np.uint64)).view(np.int64)
 
+    def outlines(self) -> pa.Array:
+        """How many shingles fall in each of about size / 4 ranges of the hash, 255 at most.
+
+        Two sets differ in no less than their outlines do, however these are folded.
+        """
+        bits = outline_bits(self.sizes)
+        ends = np.cumsum(np.int64(1) << bits)
+        begin = np.concatenate([[0], ends])[:-1]
+        place = (self.values >> (np.uint64(64) - bits[self.text].astype(np.uint64))).astype(np.int64)
+        counts = np.bincount(begin[self.text] + place, minlength=int(ends[-1]) if len(ends) else 0)
+        return blobs(np.minimum(counts, 255).astype(np.uint8), np.concatenate([[0], ends]))
+
     def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all parts a linked set could share, and the text of each."""
         sizes, first = self.sizes, self.first
@@ -137,14 +155,15 @@ def signature_rows(words: int):
         for batch in slices(batches, "text"):
             sets = Sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sets.ids()), pa.array(sets.sizes.astype(np.int64))], ["id", "set", "n"]
+                [batch.column("id"), pa.array(sets.ids()), pa.array(sets.sizes.astype(np.int64)), sets.outlines()],
+                ["id", "set", "n", "outline"],
             )
 
     return run
 
 
 def candidate_rows(words: int, percent: int):
-    """Rows (key, node, low): per key and slice the least set; others as edges to it."""
+    """Rows (key, set), each once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -152,25 +171,13 @@ def candidate_rows(words: int, percent: int):
             keys, texts = sets.keys(percent)
             if not len(keys):
                 continue
-            nodes = sets.ids()[texts]
-            order = np.lexsort((nodes, keys))
-            keys, nodes = keys[order], nodes[order]
-            lead = np.ones(len(keys), dtype=bool)
-            lead[1:] = keys[1:] != keys[:-1]
-            low = nodes[lead][np.cumsum(lead) - 1]
-            edge = nodes != low
-            keys = np.where(edge, mix(keys ^ nodes.view(np.uint64)), keys)
-            used = lead | edge
-            pair = np.ones(len(keys), dtype=bool)
-            inner = np.flatnonzero(edge)
-            if len(inner):
-                twin = mix(nodes[inner].view(np.uint64) ^ mix(low[inner].view(np.uint64)))
-                pair[inner] = False
-                pair[inner[np.unique(twin, return_index=True)[1]]] = True
-            used &= pair
+            nodes = sets.ids()
+            _, first = np.unique(nodes, return_index=True)
+            once = np.zeros(len(nodes), dtype=bool)
+            once[first] = True
+            kept = once[texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[used].view(np.int64)), pa.array(nodes[used]), pa.array(low[used])],
-                ["key", "node", "low"],
+                [pa.array(keys[kept].view(np.int64)), pa.array(nodes[texts[kept]])], ["key", "node"]
             )
 
     return run
@@ -277,6 +284,88 @@ def join_units(words: int, percent: int):
     return run
 
 
+def sieve(percent: int):
+    """Edges (node, low) among the sets of a task whose outlines allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "task", 4 << 20):
+            task = table.column("task").to_numpy()
+            edges = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            ids, sizes, block = (table.column(c).to_numpy() for c in ("set", "n", "block"))
+            cross, outlines = table.column("cross").to_numpy(), table.column("outline").to_pylist()
+            nodes, lows = [], []
+            for low, high in zip(edges, np.append(edges[1:], len(task))):
+                order = low + np.argsort(sizes[low:high], kind="stable")
+                own, size, side = ids[order], sizes[order], block[order]
+                rows = [np.frombuffer(outlines[k], np.uint8).astype(np.int32) for k in order]
+                label = alike_outlines(size, rows, side if cross[low] else None, percent)
+                least = np.full(len(own), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, own)
+                moved = least[label] != own
+                nodes.append(own[moved])
+                lows.append(least[label][moved])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(nodes)), pa.array(np.concatenate(lows))], ["node", "low"]
+            )
+
+    return run
+
+
+def alike_outlines(sizes: np.ndarray, rows: list[np.ndarray], sides: np.ndarray | None, percent: int) -> np.ndarray:
+    """Labels of the components of sets, by ascending size, that may be linked."""
+    label = np.arange(len(sizes))
+    bits = outline_bits(sizes)
+    starts = np.flatnonzero(np.append(True, bits[1:] != bits[:-1])) if len(bits) else bits
+    stops = np.append(starts[1:], len(bits))
+    for at, (start, stop) in enumerate(zip(starts, stops)):
+        # Sets of this outline width, and those one wider folded to it: larger is too large.
+        top = stops[at + 1] if at + 1 < len(starts) and bits[stop] == bits[start] + 1 else stop
+        wide = [r if k < stop else r.reshape(-1, 2).sum(axis=1) for k, r in enumerate(rows[start:top], start)]
+        table = np.stack(wide)
+        for i in range(start, stop):
+            last = start + int(np.searchsorted(sizes[start:top], sizes[i] * 100 // percent, side="right"))
+            differing = np.abs(table[i + 1 - start : last - start] - table[i - start]).sum(axis=1)
+            near = differing <= most_differing(sizes[i] + sizes[i + 1 : last], percent)
+            if sides is not None:
+                near &= sides[i + 1 : last] != sides[i]
+            meet = np.unique(np.append(label[i + 1 : last][near], label[i]))
+            if len(meet) > 1:
+                label[np.isin(label, meet)] = meet[0]
+    return label
+
+
+def in_blocks(df: DataFrame, key: str, unit_tokens: int) -> DataFrame:
+    """Deal the sets of each key to tasks: one, or one for every pair of blocks of sets."""
+    sizes = df.groupBy(key).agg(F.ceil(F.sum("n") / unit_tokens).alias("blocks"))
+    dealt = df.join(sizes, key).withColumn("block", F.expr("pmod(xxhash64(set), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    # A block pair is one task, so a block meets itself in the pair of equal blocks only.
+    task = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.withColumn("cross", F.col("block") != F.col("other")).withColumn("task", task).drop("other", "blocks")
+
+
+def join_tasks(signed: DataFrame, sets: DataFrame, shared: DataFrame, unit_tokens: int, percent: int) -> DataFrame:
+    """(set, copies, block, cross, task): which sets meet in which task.
+
+    The sets of each part, parts with the same sets being one, are sieved by their
+    outlines; what is left is connected, and a unit is one component.
+    """
+    hashed = [F.bit_xor(F.xxhash64("set", F.lit(seed))).alias(f"hash{seed}") for seed in (1, 2)]
+    alike = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *hashed)
+    kept = alike.groupBy("m", "hash1", "hash2").agg(F.min("key").alias("key")).select("key")
+    outlines = signed.join(shared.select("set").distinct(), "set", "left_semi")
+    outlines = outlines.groupBy("set").agg(F.first("n").alias("n"), F.first("outline").alias("outline"))
+    parts = shared.join(kept, "key").join(outlines, "set")
+    dealt = in_blocks(parts, "key", unit_tokens).select("task", "set", "n", "block", "cross", "outline")
+    edges = (
+        dealt.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
+        .mapInArrow(sieve(percent), "node long, low long")
+    )
+    units = components(edges).select(F.col("node").alias("set"), F.col("component").alias("unit"))
+    members = sets.select("set", "copies", "n").join(units, "set")
+    return in_blocks(members, "unit", unit_tokens).select("set", "copies", "block", "cross", "task")
+
+
 def near_copies(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -296,26 +385,16 @@ def near_copies(
     spark = ready(docs.sparkSession)
     source = renamed(docs, id=id_column, text=text_column).withColumn("text", text_of("text"))
     texts = source.select("text")
-    signed = T.StructType([source.schema["id"]]).add("set", "long").add("n", "long")
+    signed = T.StructType([source.schema["id"]]).add("set", "long").add("n", "long").add("outline", "binary")
     signed = written(source.mapInArrow(signature_rows(words), signed), "sets")
     sets = signed.where("n > 0").groupBy("set").agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("low_id"), F.max("n").alias("n")
     )
-    rows = texts.mapInArrow(candidate_rows(words, percent), "key long, node long, low long")
-    low = F.min("low").over(Window.partitionBy("key"))
-    units = components(rows.select("node", low.alias("low")))
-    members = sets.join(units, F.col("set") == F.col("node")).select("set", "copies", "n", "component")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / unit_tokens).alias("blocks"))
-    members = members.join(blocks, "component").withColumn("block", F.expr("pmod(xxhash64(set), blocks)"))
-    members = written(members, "members")
-    tasks = (
-        members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select(
-            "set", "copies", "block", (F.col("block") != F.col("other")).alias("cross"),
-            F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-        )
-        # A block pair is one task, so a block meets itself in the pair of equal blocks only.
-    )
+    rows = texts.mapInArrow(candidate_rows(words, percent), "key long, set long")
+    of_key = Window.partitionBy("key")
+    shared = rows.select("key", "set", F.min("set").over(of_key).alias("low"), F.max("set").over(of_key).alias("high"))
+    shared = written(shared.where("low < high").select("key", "set").distinct(), "shared")
+    tasks = written(join_tasks(signed, sets, shared, unit_tokens, percent), "tasks")
     packed = texts.mapInArrow(packed_sets(words), "set long, packed binary")
     linked = (
         packed.join(tasks, "set").repartition(partitions(spark), "task").sortWithinPartitions("task")

@@ -49,6 +49,36 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+OP2_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT row, doc_id, array_to_string(w[i:i + {ngram_join.WORDS - 1}], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - {ngram_join.WORDS - 1}, least(len(w), 1)) + 1)) AS i FROM words)
+), sizes AS (
+  SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM shingles GROUP BY row
+), pairs AS (
+  SELECT a.row AS x, b.row AS y, count(*) AS shared FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.row <> b.row GROUP BY a.row, b.row
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.row = x JOIN sizes t ON t.row = y
+  WHERE 100 * shared >= {ngram_join.PERCENT} * (s.n + t.n - shared)
+), reach AS (
+  SELECT DISTINCT x AS row, x AS to_row FROM links
+  UNION SELECT reach.row, links.y FROM reach JOIN links ON links.x = reach.to_row
+), component AS (
+  SELECT reach.row, min(sizes.doc_id) AS component_id FROM reach JOIN sizes ON sizes.row = to_row GROUP BY reach.row
+), degree AS (
+  SELECT x AS row, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+       CASE WHEN component.row IS NULL THEN words.doc_id ELSE component_id END AS component_id,
+       coalesce(n_links, 0)::BIGINT AS n_links
+FROM words LEFT JOIN sizes USING (row) LEFT JOIN component USING (row) LEFT JOIN degree USING (row)
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.remove_repeated(table(spark, folder, "documents"))
     return kept.select(
@@ -56,6 +86,29 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OP5_SQL = f"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT row, i, array_to_string(w[i:i + {substring_dedup.WIDTH - 1}], ' ') AS span
+  FROM (SELECT *, unnest(range(1, len(w) - {substring_dedup.WIDTH - 1} + 1)) AS i FROM words)
+), again AS (
+  SELECT row, i FROM windows JOIN (SELECT span FROM windows GROUP BY span HAVING count(*) > 1) USING (span)
+), gone AS (
+  SELECT DISTINCT row, unnest(range(i, i + {substring_dedup.WIDTH})) AS i FROM again
+), removed AS (
+  SELECT row, list(i) AS places FROM gone GROUP BY row
+), kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed, CASE WHEN places IS NULL THEN w
+         ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS rest
+  FROM words LEFT JOIN removed USING (row)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(rest, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return lm_score.score(docs, lm_score.trained(docs)).withColumnRenamed("id", "doc_id")
@@ -183,6 +236,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_ngram_join": OP2_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op10_topk": OP10_SQL,
     "op7_warc": OP7_SQL,
 }
