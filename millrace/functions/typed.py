@@ -64,7 +64,7 @@ def literal_as(field: T.StructField, value: Scalar) -> Column:
     kind = class_of(field.dataType)
     try:
         if kind == "text":
-            return F.lit(_as_text(value)).cast(field.dataType)
+            return F.lit(as_text(value)).cast(field.dataType)
         if kind == "boolean":
             return F.lit(_as_boolean(value))
         if kind == "number":
@@ -89,7 +89,7 @@ _INTEGER_RANGE = {
 }
 
 
-def _as_text(value: Scalar) -> str:
+def as_text(value: Scalar) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
     return str(value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..config import check_value, column_name, option, scalar
 from ..errors import ConfigError, SchemaError
 from ..functions import casts, text
-from ..functions.typed import Scalar, class_of, fitting_literal, literal_as
-from ..table import Table, col
+from ..functions.typed import Scalar, as_text, class_of, fitting_literal, literal_as
+from ..session import small_frame
+from ..table import HIDDEN, Table, col, next_hidden
 
+BRANCHES = 32
 OPERATIONS = ("trim", "lowercase", "uppercase", "normalizeWhitespace")
 
 
@@ -44,7 +46,10 @@ class CastColumn:
 
 @dataclass(frozen=True)
 class ReplaceValues:
-    """Replace values by a map, all at once; the column keeps its type."""
+    """Replace values by a map, all at once; the column keeps its type.
+
+    A long map of texts is a table that Catalyst joins, instead of a branch per entry.
+    """
 
     column: str = option("text")
     replacements: dict[str, Scalar] = option("json")
@@ -60,12 +65,23 @@ class ReplaceValues:
 
     def __call__(self, table: Table) -> Table:
         field = table.field(self.column)
+        if class_of(field.dataType) == "text" and len(self.replacements) > BRANCHES:
+            return self._looked_up(table)
         value: Any = F
         for old, new in self.replacements.items():
             value = value.when(col(self.column) == literal_as(field, old), literal_as(field, new))
         return table.with_value(self.column, value.otherwise(col(self.column)))
 
 
+    def _looked_up(self, table: Table) -> Table:
+        start = next_hidden(table.df.columns)
+        old, new = f"{HIDDEN}{start}", f"{HIDDEN}{start + 1}"
+        pairs = [(key, as_text(value)) for key, value in self.replacements.items()]
+        entries = small_frame(table.df.sparkSession, pairs, f"{old} string, {new} string")
+        joined = replace(table, df=table.df.join(entries, col(self.column) == F.col(old), "left"))
+        return joined.with_value(self.column, F.coalesce(F.col(new), col(self.column)))
+
+
 @dataclass(frozen=True)
 class FillNull:
     """Replace nulls by a value; a fraction widens an integer column to float."""

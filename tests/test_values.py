@@ -170,3 +170,14 @@ def test_a_trailing_line_break_is_no_digit(spark):
     for target, value in (("integer", 5), ("float", 5.0)):
         table = CastColumn("v", target, strict=False)(Table.of(df))
         assert {r.v for r in table.frame().collect()} == {None, value}
+
+
+def test_a_long_map_is_joined_and_keeps_everything_else(spark):
+    data = [(i, None if i % 10 == 0 else f"k{i % 60}") for i in range(300)]
+    table = Table.of(spark.createDataFrame(data, "n bigint, v string"), ["n"])
+    long = {f"k{i}": f"new {i}" if i % 2 else i for i in range(50)}
+    got = [tuple(r) for r in ReplaceValues("v", long)(table).sorted_frame().collect()]
+    assert got == [(n, str(long[v]) if v in long else v) for n, v in data]
+    short = {"k1": "x", "k2": "k1"}
+    both = ReplaceValues("v", {**short, **{f"none{i}": "y" for i in range(40)}})(table)
+    assert both.sorted_frame().collect() == ReplaceValues("v", short)(table).sorted_frame().collect()
