@@ -62,3 +62,18 @@ def with_row_name(df: DataFrame, id_column: str, text_column: str) -> tuple[Data
     """Add the name of each row under a column name that is free; also return that."""
     free = next(f"name{i}" for i in range(len(df.columns) + 1) if f"name{i}" not in df.columns)
     return df.withColumn(free, row_name(id_column, text_column)), free
+
+
+def with_row_keys(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """Replace the names of rows by 128 bits: a key for joins and another to compare beside it.
+
+    Joined by the key alone, with the other as a range, rows are dealt once, and what is
+    grouped by both afterwards is dealt already.
+    """
+    row, check = f"{name}_row", f"{name}_check"
+    keyed = df.withColumn(row, F.xxhash64(name)).withColumn(check, F.xxhash64(F.lit(1), name))
+    return keyed.drop(name), row, check
+
+
+def same_row(row: str, check: str, other_row: str, other_check: str) -> Column:
+    return (F.col(row) == F.col(other_row)) & F.col(check).between(F.col(other_check), F.col(other_check))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..table import col
-from .frames import ready, text_of, with_row_name, written
+from .frames import ready, same_row, text_of, with_row_keys, with_row_name, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -179,10 +179,10 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ready(docs.sparkSession)
     named, name = with_row_name(docs, id_column, text_column)
     taken = mix(named, name, text_column, **options).where("copies > 0")
-    taken = taken.groupBy(F.col("id").alias("taken_name")).agg(F.sum("copies").cast("int").alias("taken_copies"))
-    taken = taken.withColumn("row_hash", F.xxhash64("taken_name"))
-    same = (F.xxhash64(name) == F.col("row_hash")) & F.col(name).eqNullSafe(F.col("taken_name"))
+    taken = taken.groupBy(F.col("id").alias("taken")).agg(F.sum("copies").cast("int").alias("taken_copies"))
+    taken, taken_row, taken_check = with_row_keys(taken, "taken")
+    named, row, check = with_row_keys(named, name)
     # Rows equal in id and text are one row here, as often as all of them are taken.
-    chosen = named.dropDuplicates([name]).join(taken, same)
+    chosen = named.join(taken, same_row(row, check, taken_row, taken_check)).dropDuplicates([row, check])
     copies = F.explode(F.sequence(F.lit(1), F.col("taken_copies"))).alias("taken_copy")
     return chosen.select(*[col(c) for c in docs.columns], copies).drop("taken_copy")

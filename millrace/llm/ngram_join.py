@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import partitions, ready, renamed, text_of, with_row_name, written
+from .frames import partitions, ready, renamed, same_row, text_of, with_row_keys, with_row_name, written
 from .graph import components
 from .text import Words, blobs, groups, mix, prefix_sums, rolling, slices, span_hashes
 
@@ -60,7 +60,12 @@ def part_plan(percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def outline_bits(sizes: np.ndarray) -> np.ndarray:
-    return np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) / 4)), 3).astype(np.int64)
+    return np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), 3).astype(np.int64)
+
+
+def outline_counts(outline: bytes) -> np.ndarray:
+    pairs = np.frombuffer(outline, np.uint8)
+    return np.column_stack([pairs & 15, pairs >> 4]).ravel().astype(np.int32)
 
 
 class Sets:
@@ -98,7 +103,8 @@ class Sets:
         return mix((sums[self.first[1:]] - sums[self.first[:-1]]) ^ self.sizes.astype(np.uint64)).view(np.int64)
 
     def outlines(self) -> pa.Array:
-        """How many shingles fall in each of about size / 4 ranges of the hash, 255 at most.
+        """How many shingles fall in each of about size / 6 ranges of the hash, 15 at most,
+        two counts to a byte.
 
         Two sets differ in no less than their outlines do, however these are folded.
         """
@@ -107,7 +113,8 @@ class Sets:
         begin = np.concatenate([[0], ends])[:-1]
         place = (self.values >> (np.uint64(64) - bits[self.text].astype(np.uint64))).astype(np.int64)
         counts = np.bincount(begin[self.text] + place, minlength=int(ends[-1]) if len(ends) else 0)
-        return blobs(np.minimum(counts, 255).astype(np.uint8), np.concatenate([[0], ends]))
+        low, high = np.minimum(counts, 15).astype(np.uint8).reshape(-1, 2).T
+        return blobs(low | high << np.uint8(4), np.concatenate([[0], ends // 2]))
 
     def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all parts a linked set could share, and the text of each."""
@@ -297,7 +304,7 @@ def sieve(percent: int):
             for low, high in zip(edges, np.append(edges[1:], len(task))):
                 order = low + np.argsort(sizes[low:high], kind="stable")
                 own, size, side = ids[order], sizes[order], block[order]
-                rows = [np.frombuffer(outlines[k], np.uint8).astype(np.int32) for k in order]
+                rows = [outline_counts(outlines[k]) for k in order]
                 label = alike_outlines(size, rows, side if cross[low] else None, percent)
                 least = np.full(len(own), np.iinfo(np.int64).max)
                 np.minimum.at(least, label, own)
@@ -430,6 +437,7 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ready(docs.sparkSession)
     named, name = with_row_name(docs, id_column, text_column)
     found = near_copies(named, name, text_column, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.xxhash64("id").alias("row_hash"), F.col("id").alias("kept_name")).distinct()
-    same = (F.xxhash64(name) == F.col("row_hash")) & F.col(name).eqNullSafe(F.col("kept_name"))
-    return named.join(kept, same, "left_semi").dropDuplicates([name]).drop(name)
+    kept, kept_row, kept_check = with_row_keys(found.select(F.col("id").alias("kept")).distinct(), "kept")
+    named, row, check = with_row_keys(named, name)
+    chosen = named.join(kept, same_row(row, check, kept_row, kept_check), "left_semi")
+    return chosen.dropDuplicates([row, check]).drop(row, check)
