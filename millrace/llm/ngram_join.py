@@ -389,6 +389,8 @@ def near_copies(
     component; rows repeated in full are copies of one another.  `n_links` counts the
     other rows a row is linked with.  Sets go by a 64-bit hash.
     """
+    if not 50 <= percent < 100:
+        raise ValueError("A similarity is 50 to 99 percent.")
     spark = ready(docs.sparkSession)
     source = renamed(docs, id=id_column, text=text_column).withColumn("text", text_of("text"))
     texts = source.select("text")
