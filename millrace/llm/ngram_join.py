@@ -37,6 +37,7 @@ from .text import Words, blobs, groups, mix, prefix_sums, rolling, slices, span_
 WORDS = 3
 PERCENT = 90
 UNIT_TOKENS = 1 << 17
+MOST_COUNTED = 15  # of an outline's range, four bits
 
 
 def most_differing(total, percent: int):
@@ -113,7 +114,7 @@ class Sets:
         begin = np.concatenate([[0], ends])[:-1]
         place = (self.values >> (np.uint64(64) - bits[self.text].astype(np.uint64))).astype(np.int64)
         counts = np.bincount(begin[self.text] + place, minlength=int(ends[-1]) if len(ends) else 0)
-        low, high = np.minimum(counts, 15).astype(np.uint8).reshape(-1, 2).T
+        low, high = np.minimum(counts, MOST_COUNTED).astype(np.uint8).reshape(-1, 2).T
         return blobs(low | high << np.uint8(4), np.concatenate([[0], ends // 2]))
 
     def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +328,8 @@ def alike_outlines(sizes: np.ndarray, rows: list[np.ndarray], sides: np.ndarray
     for at, (start, stop) in enumerate(zip(starts, stops)):
         # Sets of this outline width, and those one wider folded to it: larger is too large.
         top = stops[at + 1] if at + 1 < len(starts) and bits[stop] == bits[start] + 1 else stop
-        wide = [r if k < stop else r.reshape(-1, 2).sum(axis=1) for k, r in enumerate(rows[start:top], start)]
+        # Folded counts are clipped again: both sides of a comparison have one limit.
+        wide = [r if k < stop else np.minimum(r.reshape(-1, 2).sum(axis=1), MOST_COUNTED) for k, r in enumerate(rows[start:top], start)]
         table = np.stack(wide)
         for i in range(start, stop):
             last = start + int(np.searchsorted(sizes[start:top], sizes[i] * 100 // percent, side="right"))

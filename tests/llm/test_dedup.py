@@ -140,6 +140,22 @@ def test_part_keys_lose_no_link(percent):
                     assert names[i] == names[j] or own[i] & own[j]
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_outlines_lose_no_copy_with_words_appended(percent):
+    """Pairs exactly at the limit, on both sides of the sizes where outlines get wider."""
+    draw = random.Random(5)
+    for size in [64 << k for k in range(9)]:
+        for low in (size, size - 1, size * percent // 100 + 1):
+            high = low * 100 // percent
+            for _ in range(2 if size > 2000 else 12):
+                words = [f"w{draw.random()}" for _ in range(high + 2)]
+                sets = ngram_join.Sets(pa.array([" ".join(words[: low + 2]), " ".join(words)]), 3)
+                a, b = (set(sets.values[sets.first[i] : sets.first[i + 1]].tolist()) for i in (0, 1))
+                assert len(a) == low and len(b) == high and 100 * len(a & b) >= percent * len(a | b)
+                rows = [ngram_join.outline_counts(x) for x in sets.outlines().to_pylist()]
+                assert ngram_join.alike_outlines(sets.sizes, rows, None, percent).tolist() == [0, 0], (low, high)
+
+
 def test_sparse_parts_use_prefixes():
     """Sets whose hashes leave parts empty are still candidates of one another."""
     sets = ngram_join.Sets(pa.array(["x"]), 3)
