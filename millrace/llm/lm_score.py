@@ -8,8 +8,9 @@ bucket within it.  A text's score is the sum of the logarithms over its words.
 
 Counts cover every word of the corpus: each task sends its buckets once.  The network is
 trained in numpy by rounds of local stochastic descent: each task walks through its
-texts, every `STRIDE`-th word from another start each round, and sends its weights; Spark
-adds them up in fixed point, so a repeated task changes nothing.  Tables and weights
+texts and sends its weights; Spark adds them up in fixed point, so a repeated task changes
+nothing.  The rounds share the words of every text in turn, so each word is a target in
+exactly one of them.  Tables and weights
 that reach the driver have a fixed size.
 """
 
@@ -32,7 +33,6 @@ CLASSES = 128
 WIDTH = 32
 SIDE = 2
 ROUNDS = 3
-STRIDE = 8
 BATCH = 1024
 RATE = 0.2
 SMOOTHING = 0.1
@@ -163,8 +163,11 @@ class Descent:
         self.steps += 1
 
 
-def train_rows(shared, turn: int):
-    """(at, total) over one task: its weights times its steps; at -1 counts the steps."""
+def train_rows(shared, turn: int, rounds: int):
+    """(at, total) over one task: its weights times its steps; at -1 counts the steps.
+
+    Targets are the words whose place in their text leaves `turn` when divided by `rounds`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         descent = Descent(shared.value)
@@ -186,7 +189,7 @@ def train_rows(shared, turn: int):
             words = Words.of(batch.column("text"))
             around, bucket = descent.network.windows(words)
             place = np.arange(len(bucket)) - np.repeat(words.first[:-1], words.counts())
-            chosen = np.flatnonzero(place % STRIDE == turn % STRIDE)
+            chosen = np.flatnonzero(place % rounds == turn)
             if len(chosen):
                 waiting.append((around[chosen], descent.network.classes[bucket[chosen]].astype(np.int64)))
                 size += len(chosen)
@@ -212,7 +215,7 @@ def trained(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS) ->
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     network = Network.fresh(counts)
     for turn in range(rounds):
-        rows = texts.mapInArrow(train_rows(spark.sparkContext.broadcast(network), turn * STRIDE // rounds), "at int, total long")
+        rows = texts.mapInArrow(train_rows(spark.sparkContext.broadcast(network), turn, rounds), "at int, total long")
         summed = rows.groupBy("at").agg(F.sum("total").alias("total")).toArrow()
         if not summed.num_rows:
             break

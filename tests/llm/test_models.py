@@ -109,3 +109,19 @@ def test_training_lowers_the_loss_and_scores_every_row(spark, tmp_path):
     assert scored[0] > scored[1]
     assert lm_score.score(docs.limit(0), network).count() == 0
     assert lm_score.trained(docs.limit(0)).weights().size == network.weights().size
+
+
+def test_every_word_is_a_target_once(monkeypatch):
+    """Over the rounds of a training, by the classes of the words; texts of period 8 have a word a place."""
+    places = [[f"{chr(97 + text)}{place}" for place in range(8)] for text in range(5)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(x * 50) for x in places] + [None, "", "one", "one two"]})
+    words = Words.of(batch.column("text"))
+    network = lm_score.Network.fresh(np.bincount(lm_score.word_buckets(words), minlength=lm_score.BUCKETS).astype(float))
+    seen = []
+    monkeypatch.setattr(lm_score.Descent, "step", lambda self, around, target: seen.append(target))
+    shared = type("Shared", (), {"value": network})
+    for turn in range(lm_score.ROUNDS):
+        list(lm_score.train_rows(shared, turn, lm_score.ROUNDS)(iter([batch])))
+    got = np.bincount(np.concatenate(seen), minlength=lm_score.CLASSES)
+    want = np.bincount(network.classes[lm_score.word_buckets(words)], minlength=lm_score.CLASSES)
+    assert got.tolist() == want.tolist()
