@@ -14,12 +14,18 @@ from millrace.llm.frames import ready
 from millrace.session import scratch_path
 
 LEAST_SCORE = 0.5
+#: Half way from evenly used n-grams (0) to the mean of the language's labelled texts (1).
+LEAST_FIT = 0.5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found: text without letters, or without a likelier half, goes."""
+    """Documents whose language is found: text without letters, or without a likelier half, goes,
+    and so does text whose n-grams are not those of its language, such as letter junk or
+    a script no labelled text holds; the posterior alone tells only languages apart."""
     model = language_id.Model.learn(docs)
-    found = language_id.annotate(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    found = language_id.annotate(docs, model, fit=True).where(
+        (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("fit") >= LEAST_FIT)
+    )
     return found.select(*docs.columns)
 
 

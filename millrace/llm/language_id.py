@@ -106,11 +106,13 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in code point order, log-priors, and log-probabilities by bucket."""
+    """Languages in code point order, log-priors, and log-probabilities by bucket; for each
+    language the mean log-probability of its own n-grams."""
 
     languages: list[str]
     priors: np.ndarray
     weights: np.ndarray
+    typical: np.ndarray
 
     @classmethod
     def learn(cls, labelled: DataFrame, text_column: str = "text", lang_column: str = "lang") -> "Model":
@@ -134,51 +136,68 @@ class Model:
         table[bucket[gram], at[gram]] = n[gram]
         texts = np.zeros(len(languages))
         texts[at[(bucket < 0) & (at >= 0)]] = n[(bucket < 0) & (at >= 0)]
-        table = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * BUCKETS)
+        seen = table
+        table = np.log(seen + SMOOTHING) - np.log(seen.sum(axis=0) + SMOOTHING * BUCKETS)
+        typical = (seen * table).sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
         priors = np.log(texts / max(texts.sum(), 1))
-        return cls(languages, priors, table.astype(np.float32))
+        return cls(languages, priors, table.astype(np.float32), typical)
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the index of its language, or -1, and the posterior probability."""
+        return self.fits(texts)[:2]
+
+    def fits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `scores`, and how well each text fits its language, whatever the others are.
+
+        That is its mean log-probability per n-gram, on a scale where 0 is the n-gram of
+        evenly used buckets and 1 the mean of the language's own labelled texts.
+        """
         grams, starts, stops, lettered = buckets(texts)
         if not self.languages:
-            return np.full(len(texts), -1), np.zeros(len(texts))
+            return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
         each = self.weights[grams[:, 0]] + self.weights[grams[:, 1]]
         each += self.weights[grams[:, 2]]
         edges = np.stack([starts, stops], axis=1).ravel()
-        sums = np.add.reduceat(each, edges, axis=0, dtype=np.float64)[::2] + self.priors
+        plain = np.add.reduceat(each, edges, axis=0, dtype=np.float64)[::2]
+        sums = plain + self.priors
         best = sums.argmax(axis=1)
         share = 1.0 / np.exp(sums - sums[np.arange(len(best)), best][:, None]).sum(axis=1)
-        return np.where(lettered, best, -1), np.where(lettered, share, 0.0)
+        mean = plain[np.arange(len(best)), best] / (3 * (stops - starts))
+        even = -np.log(BUCKETS)
+        fit = (mean - even) / np.maximum(self.typical[best] - even, 1e-9)
+        return np.where(lettered, best, -1), np.where(lettered, share, 0.0), np.where(lettered, fit, 0.0)
 
 
-def predict_rows(shared):
+def predict_rows(shared, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in slices(batches, "text", SLICE):
-            best, share = model.scores(batch.column("text"))
+            best, *figures = model.fits(batch.column("text"))
             columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names[best], pa.string()), pa.array(share)],
-                [*[n for n in batch.schema.names if n != "text"], "lang_pred", "score"],
+                [*columns, pa.array(names[best], pa.string()), *map(pa.array, figures[: len(added) - 1])],
+                [*[n for n in batch.schema.names if n != "text"], *added],
             )
 
     return run
 
 
-def annotate(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All rows and columns of `docs` with `lang_pred` and `score` (they replace such columns)."""
+def annotate(docs: DataFrame, model: Model, text_column: str = "text", fit: bool = False) -> DataFrame:
+    """All rows and columns of `docs` with `lang_pred`, `score` and, if asked for, `fit`
+    (they replace such columns)."""
     spark = ready(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *["fit"][:fit]]
+    kept = [c for c in docs.columns if c not in added]
     carried = {f"column{i}": c for i, c in enumerate(kept)}
     source = docs.select(
         *[col(c).alias(name) for name, c in carried.items()], text_of(text_column).alias("text")
     )
     schema = T.StructType([T.StructField(name, docs.schema[c].dataType) for name, c in carried.items()])
-    schema = schema.add("lang_pred", "string").add("score", "double")
-    found = source.mapInArrow(predict_rows(spark.sparkContext.broadcast(model)), schema)
-    return found.toDF(*kept, "lang_pred", "score")
+    for name in added:
+        schema = schema.add(name, "string" if name == "lang_pred" else "double")
+    found = source.mapInArrow(predict_rows(spark.sparkContext.broadcast(model), added), schema)
+    return found.toDF(*kept, *added)
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import language_id, lm_score, queries
 from millrace.llm.text import Words
 
@@ -60,6 +61,16 @@ def test_a_prediction_depends_on_its_text_only():
     assert grams[starts[1] : starts[1] + 6].tolist() == one.tolist()
 
 
+def test_the_pipeline_keeps_clean_documents_and_drops_unseen_scripts_and_junk(spark):
+    draw = random.Random(8)
+    junk = ["".join(chr(draw.randint(0x4E00, 0x9000)) for _ in range(n)) for n in (20, 300)]
+    junk += ["".join(draw.choice("bcdfgjkmpqvwxyz") for _ in range(n)) for n in (40, 900)]
+    rows = [(2000 + i, text, None, "s", None) for i, text in enumerate(junk)]
+    docs = documents(spark).union(spark.createDataFrame(rows, SCHEMA))
+    kept = {r.doc_id for r in corpus_pipeline.identified(spark, docs, "").collect()}
+    assert kept == {*range(240), 1003, None, 1004}
+
+
 def test_nothing_learned(spark):
     docs = documents(spark, 9)
     model = language_id.Model.learn(docs.withColumn("lang", F.lit(None).cast("string")))
