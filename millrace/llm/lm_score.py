@@ -6,6 +6,10 @@ their counts in the whole corpus.  The network - one embedding per position and
 tanh layer, a softmax - gives the probability of the class, the counts that of the
 bucket within it.  A text's score is the sum of the logarithms over its words.
 
+This is an approximation: context decides between classes only.  Words of one class can
+change places without a change of the score, so rare words in disorder may score like a
+text; and words that share a bucket share its probability.
+
 Counts cover every word of the corpus: each task sends its buckets once.  The network is
 trained in numpy by rounds of local stochastic descent: each task walks through its
 texts and sends its weights; Spark adds them up in fixed point, so a repeated task changes
