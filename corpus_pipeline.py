@@ -30,7 +30,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are on too many pages of their source."""
+    """Documents without the lines that are on too many pages of their source; a text copied
+    on too many pages goes on as empty documents."""
     kept = line_dedup.drop_boilerplate(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

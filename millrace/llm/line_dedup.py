@@ -51,7 +51,8 @@ def drop_boilerplate(
     Lines end at a line feed and are compared without surrounding spaces; blank lines
     stay.  A line goes if it is on at least `min_pages` pages of its host and on more than
     `ratio` of them.  Every row is a page, repeated rows too; rows without host are one
-    host.  A null text stays null and has no lines; an empty text is one blank line.
+    host.  Copies count: a text copied on more pages than that loses all its lines but
+    blank ones in every copy.  A null text stays null and has no lines; an empty text is one blank line.
     """
     ready(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("="), col(host_column).cast("string")), F.lit(""))

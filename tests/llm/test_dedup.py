@@ -75,6 +75,14 @@ def test_line_dedup_keeps_other_columns(spark):
 # n-gram join
 
 
+def test_line_dedup_empties_a_text_copied_above_the_ratio(spark):
+    rows = [(i, "one\ntwo", "s") for i in range(3)] + [(10 + i, f"own {i}", "s") for i in range(20)]
+    rows += [(50 + i, "three\nfour", "t") for i in range(2)]
+    found = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(documents(spark, rows)).collect()}
+    want = {i: ("", 2) for i in range(3)} | {10 + i: (f"own {i}", 0) for i in range(20)}
+    assert found == want | {50: ("three\nfour", 0), 51: ("three\nfour", 0)}
+
+
 def shingles(text, words=3):
     found = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
     if len(found) < words:
