@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from ..session import scratch_path
-from . import fingerprints, language_id, line_dedup, lm_score, mixing, ngram_join, packing, substring_dedup, topk, warc
+from . import fingerprints, language_id, line_dedup, lm_score, mixing, negatives, ngram_join, packing, runs
+from . import substring_dedup, topk, warc
 from .following import with_next_text
 from .frames import ready, renamed, text_of
 
@@ -220,9 +219,94 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS kin, list_inner_product(a.vec, c.vec)::BIGINT AS score
+  FROM whole a JOIN whole c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE kin
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT
+         AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT kin AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
+
+def cycled(text: Column, key: Column) -> Column:
+    """Texts of a tenth of the documents end in a cycle: words from `a` on repeat with period `p`."""
+    group = F.floor(key / 10)
+    words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    changed = key % 10 == 0
+
+    def cycle(w: Column) -> Column:
+        n = F.size(w)
+        a = (group % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + group % 8))).cast("int")
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(w, a + (i - a) % p))
+        return F.array_join(F.concat(F.slice(w, 1, a), tail), " ")
+
+    # The words are bound once, as the element of a one-element array.
+    bound = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, cycle(w)).otherwise("")), 0)
+    return F.when(changed & text.isNotNull(), bound).otherwise(text)
+
+
+def strongest(found: Column) -> Column:
+    """Of runs the one of the greatest length by period; ties: smallest start, then period."""
+
+    def before(a: Column, b: Column) -> Column:
+        one, other = a["length"] * b["period"], b["length"] * a["period"]
+        return (
+            F.when(one != other, F.when(one > other, -1).otherwise(1))
+            .when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
+            .otherwise(F.when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0))
+        )
+
+    return F.get(F.array_sort(found, before), 0)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", cycled(F.col("text"), F.crc32(F.col("doc_id").cast("string"))))
+    found = runs.collapse_runs(docs).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op10_topk": op10_topk,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
     "op2_ngram_join": op2_ngram_join,
     "op3_lm_score": op3_lm_score,
     "op4_packing": op4_packing,
@@ -231,7 +315,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
@@ -239,5 +323,6 @@ ORACLES: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op10_topk": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op7_warc": OP7_SQL,
 }
