@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import fingerprints, language_id, line_dedup, lm_score, mixing, negatives, ngram_join, packing, runs
-from . import substring_dedup, topk, warc
+from . import substring_dedup, suffix_dedup, topk, warc
 from .following import with_next_text
 from .frames import ready, renamed, text_of
 
@@ -219,6 +219,42 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP11_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT row, i, md5(array_slice(b, i + 1, i + {suffix_dedup.WIDTH})) AS string
+  FROM (SELECT *, unnest(range(0, octet_length(b) - {suffix_dedup.WIDTH} + 1)) AS i FROM texts)
+), again AS (
+  SELECT row, i, lag(i) OVER (PARTITION BY row ORDER BY i) AS before
+  FROM starts JOIN (SELECT string FROM starts GROUP BY string HAVING count(*) > 1) USING (string)
+), numbered AS (
+  SELECT row, i, count(*) FILTER (before IS NULL OR i > before + {suffix_dedup.WIDTH})
+         OVER (PARTITION BY row ORDER BY i) AS span FROM again
+), spans AS (
+  SELECT row, span, min(i) AS start, max(i) + {suffix_dedup.WIDTH} AS stop FROM numbered GROUP BY row, span
+), pieces AS (
+  SELECT row, coalesce(lag(stop) OVER (PARTITION BY row ORDER BY start), 0) AS low, start, stop FROM spans
+), kept AS (
+  SELECT row, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS rest,
+         string_agg(hex(array_slice(b, low + 1, start)), '' ORDER BY start) AS head
+  FROM pieces JOIN texts USING (row) GROUP BY row
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(array_slice(b, coalesce(rest, 0) + 1, octet_length(b))))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row)
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -305,6 +341,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op10_topk": op10_topk,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
     "op2_ngram_join": op2_ngram_join,
@@ -323,6 +360,7 @@ ORACLES: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op10_topk": OP10_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op7_warc": OP7_SQL,
 }

@@ -1,0 +1,105 @@
+"""Removal of repeated byte strings against brute force."""
+
+import hashlib
+import random
+from collections import Counter
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from millrace.llm import queries, suffix_dedup
+from millrace.llm.text import raw_bytes
+
+
+def brute(texts, width):
+    seen = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - width + 1):
+            if seen[t[i : i + width]] > 1:
+                gone[i : i + width] = [True] * width
+        edges = [i for i in range(len(t) + 1) if (0 < i and gone[i - 1]) != (i < len(t) and gone[i])]
+        spans = list(zip(edges[::2], edges[1::2]))
+        out.append((len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g)))
+    return out
+
+
+def sample(seed, count=40, letters=3, most=120):
+    r = random.Random(seed)
+    passages = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(10, 70))) for _ in range(8)]
+    texts = []
+    for _ in range(count):
+        parts = [
+            r.choice(passages) if r.random() < 0.4 else "".join(r.choice("abcdé"[:letters]) for _ in range(r.randrange(most)))
+            for _ in range(r.randrange(4))
+        ]
+        texts.append("".join(parts))
+    return texts + texts[:3] + ["z" * 100, "z" * 30, "xy" * 60, "", "a", "zz"]
+
+
+def dedup(spark, texts, width, slices=3):
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slice string, pos int").repartition(slices)
+    found = {r.id: r for r in suffix_dedup.remove_repeats(docs, width=width).collect()}
+    return [
+        (found[i].n_bytes, found[i].n_removed, [tuple(s) for s in found[i].spans], bytes(found[i].kept))
+        for i in range(len(texts))
+    ]
+
+
+@pytest.mark.parametrize("width,seed", [(20, 1), (64, 2), (200, 3)])
+def test_against_brute_force(spark, width, seed):
+    texts = sample(seed, most=max(100, 4 * width))
+    if width == 200:
+        texts += ["q" * 199 + "w" * 400 + x * 300 + "v" * 250 for x in "abca"] + ["q" * 199]
+    assert dedup(spark, texts, width) == brute([t.encode() for t in texts], width)
+
+
+@pytest.mark.parametrize("width", [3, 4, 7, 8])
+def test_small_widths(spark, width):
+    texts = ["abcabd", "xabx", "", "q", "zzz", "hello world", "held"]
+    assert dedup(spark, texts, width) == brute([t.encode() for t in texts], width)
+    with pytest.raises(ValueError):
+        dedup(spark, texts, 2)
+
+
+@pytest.mark.parametrize("width", [12, 20, 33, 50, 200])
+def test_equal_strings_have_equal_first_anchors(width):
+    """Windows that are equal bytes have the same anchor at the same distance, and two phrases."""
+    for seed in range(6):
+        texts = [t.encode() for t in sample(seed, 30, most=2 * width)]
+        data, offsets = raw_bytes(pa.array(texts, pa.binary()))
+        found = suffix_dedup.Anchors(data, offsets, width)
+        named, whole = {}, data.tobytes()
+        for pos, back, count, name in zip(found.pos, found.back, found.windows, found.names):
+            for x in range(pos - back, pos - back + count):
+                assert named.setdefault(whole[x : x + width], (pos - x, name)) == (pos - x, name)
+        windows = {t[i : i + width] for t in texts for i in range(len(t) - width + 1)}
+        assert windows == set(named)
+
+
+def test_query_and_oracle(spark, tmp_path):
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefghij klmné") for _ in range(900))
+    rows = [(i, base[i * 7 : i * 7 + 150 + 20 * i] + "".join(r.choice("xyz") for _ in range(250))) for i in range(20)]
+    rows += [(100, None), (101, ""), (102, base), (102, base), (None, "y" * 500), (103, "y" * 300), (104, "short")]
+    rows += [(200, "".join(r.choice("abcdefgh") for _ in range(400_000)) + base)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in queries.op11_suffix_dedup(spark, str(tmp_path)).collect()]
+    texts = [(t or "").encode() for _, t in rows]
+    want = [
+        (doc, n, m, len(spans), hashlib.sha256(kept).hexdigest())
+        for (doc, _), (n, m, spans, kept) in zip(rows, brute(texts, 200))
+    ]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    oracle = connection.execute(queries.OP11_SQL).fetchall()
+    assert sorted(map(repr, oracle)) == sorted(map(repr, want))
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op11_suffix_dedup(spark, str(tmp_path)).count() == 0
