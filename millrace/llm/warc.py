@@ -222,16 +222,15 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
 
+def base32(digits: Column) -> Column:
+    """Forty hex digits in upper-case base32: ten digits are eight characters."""
+    parts = [F.lpad(F.conv(F.substring(digits, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
 def base32_sha1(data: Column) -> Column:
-    """The SHA-1 of binary data in upper-case base32: four characters per five hex digits."""
-    digits = F.sha1(data)
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    characters = []
-    for at in range(1, 41, 5):
-        bits = F.conv(F.substring(digits, at, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            characters.append(F.substring(letters, F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)))
-    return F.concat(*characters)
+    """The SHA-1 of binary data in upper-case base32."""
+    return base32(F.sha1(data))
 
 
 def record_text(
@@ -285,12 +284,13 @@ def write_archives(
     spark = ready(pages.sparkSession)
     source = renamed(pages, page_id=id_column, url=url_column, html=html_column)
     source = source.withColumn("html", text_of("html"))
-    payload = F.encode("html", "utf-8")
-    source = source.withColumn("digest", base32_sha1(payload)).withColumn("size", F.octet_length("html").cast("long"))
-    firsts = source.groupBy("digest").agg(F.min("page_id").alias("first"))
+    source = source.withColumn("hash", F.sha1(F.encode("html", "utf-8")))
+    firsts = source.groupBy("hash").agg(F.min("page_id").alias("first"))
+    joined = source.join(firsts, "hash").withColumn("digest", base32(F.col("hash")))
+    joined = joined.withColumn("size", F.octet_length("html").cast("long"))
     columns = [F.col(c) for c in ("page_id", "url", "html", "size", "digest", "first")]
     text = record_text(*columns, least_revisit)
-    source.join(firsts, "digest").select(text.alias("value")).write.option("lineSep", "\r\n").option(
+    joined.select(text.alias("value")).write.option("lineSep", "\r\n").option(
         "maxRecordsPerFile", FILE_RECORDS
     ).option("compression", "gzip").text(path)
 
