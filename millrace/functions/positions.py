@@ -1,4 +1,4 @@
-"""Row positions and large limits without bringing all rows to one task."""
+"""Row positions without bringing all rows to one task."""
 
 from __future__ import annotations
 
@@ -33,11 +33,3 @@ def numbered(table: Table, name: str) -> Table:
     position = (F.col("__before") + col(row)).alias(name)
     visible = [col(c) for c in rows.columns]
     return Table(placed.select(*visible, position, *[k.column for k in rows.order]), rows.order, True)
-
-
-def leading(table: Table, count: int) -> Table:
-    """The first `count` rows, for counts too large for a top-k in one task."""
-    position = "__position"
-    placed = numbered(table, position)
-    kept = placed.df.where(F.col(position) < count).drop(position)
-    return Table(kept, placed.order, shuffled=True)

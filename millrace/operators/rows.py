@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import check_value, column_name, name_list, option, scalar, whole_number
 from ..errors import ConfigError, SchemaError
+from ..functions.selection import first_rows
 from ..functions.typed import Scalar, fitting_literal
 from ..table import HIDDEN, OrderKey, Table, col, next_hidden, require_columns
 
@@ -27,6 +28,8 @@ KEEP = ("first", "last", "none")
 # Groups of each level of a large limit, and the count up to which it needs no tree.
 FANS = (512, 32)
 FEW_ROWS = 1000
+# The most rows that may meet in the last task of a limit; larger limits are cut by ranges.
+MET_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -147,7 +150,9 @@ class LimitRows:
     Spark brings the rows of a limit together in one task, `count` from every task
     before it.  So that this is a bounded multiple of `count`, a tree of group limits
     stands in front of it: rows are dealt to fewer and fewer groups, each of which keeps
-    its first `count`, before and after its shuffle.  The plan stays lazy for any count.
+    its first `count`, before and after its shuffle.  Above `MET_ROWS` rows, with an order
+    or without, the last row is found by counts per key range instead and rows up to it
+    are kept where they are read.  The plan stays lazy for any count.
     """
 
     count: int = option("number")
@@ -157,6 +162,8 @@ class LimitRows:
 
     def __call__(self, table: Table) -> Table:
         count = int(self.count)
+        if count > MET_ROWS:
+            return first_rows(table, count)
         if count == 0 or not table.order:
             return replace(table, df=table.df.limit(count))
         order = [k.ascending_column() for k in table.order]

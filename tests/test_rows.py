@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import (
     ConfigError,
@@ -13,6 +14,8 @@ from millrace import (
     Table,
 )
 
+from millrace.functions.selection import counted_ranges, first_rows
+
 DATA = [(4, 2, "d"), (1, None, "a"), (3, 1, "c"), (1, None, "b")]
 
 
@@ -190,3 +193,59 @@ def test_a_sort_of_few_keys_is_split(spark, scratch):
             spark.conf.unset(merging)
         sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_metadata.file_path").count().collect()]
         assert len(sizes) >= 3 and max(sizes) < 25_000
+
+
+def selection_rows(spark, n=3000):
+    df = spark.range(n).select(
+        F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 7).alias("k"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("t"), F.col("id") % 101)).alias("t"),
+        F.when(F.col("id") % 13 == 0, float("nan")).otherwise(F.col("id") / 3).alias("x"),
+        "id",
+    )
+    return df.repartition(6)
+
+
+@pytest.mark.parametrize("count", [1, 600, 1501, 3000, 5000])
+def test_selection_by_ranges_takes_the_first_rows(spark, count):
+    table = SortRows([{"column": "k", "descending": True}, {"column": "t"}, {"column": "x", "descending": True}])(
+        Table.of(selection_rows(spark), ["id"])
+    )
+    got = first_rows(table, count)
+    want = [r.id for r in table.ordered_frame().collect()][:count]
+    assert [r.id for r in got.ordered_frame().collect()] == want
+    assert got.columns == table.columns and got.order == table.order
+
+
+def test_selection_of_equal_keys_and_without_order(spark):
+    same = spark.range(900).select(F.lit("a").alias("k"), "id")
+    assert first_rows(Table.of(same, ["k"]), 333).frame().count() == 333
+    rows = first_rows(Table.of(selection_rows(spark)), 1234)
+    assert rows.columns == ["k", "t", "x", "id"] and not rows.order
+    assert rows.frame().distinct().count() == rows.frame().count() == 1234
+    assert first_rows(Table.of(same.limit(0), ["k"]), 5).frame().count() == 0
+
+
+def test_a_limit_of_millions_is_lazy_and_ranks_few_rows(spark):
+    count = 2_500_000
+    source = spark.range(0, 3_000_000, 1, 8).select((F.col("id") * 7919 % 3_000_017).alias("key"), "id")
+    table = Table.of(source, ["key"])
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    cut = LimitRows(count)(table)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == started
+    frame = cut.frame()
+    # Checked by value: all rows up to the count-th key, none after it.
+    keys = frame.agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("last"), F.count_distinct("key").alias("d")).first()
+    last = source.orderBy("key").offset(count - 1).limit(1).first().key
+    assert (keys.n, keys.last, keys.d) == (count, last, count)
+    # Only the sizes of ranges and the rows of the second cut meet in one task.
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    small = cut_sizes(spark, table, count)
+    assert small < 3_000_000 / 4
+
+
+def cut_sizes(spark, table, count):
+    """Rows of the range that the first cut goes through; the second divides it again."""
+    sizes = counted_ranges(table.df.select(*[k.column for k in table.order]), table.order, 8).orderBy("part").collect()
+    assert len(sizes) == 8 and sum(s.n for s in sizes) == 3_000_000
+    return max(s.n for s in sizes)

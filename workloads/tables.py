@@ -20,6 +20,7 @@ from millrace import (
     Table,
 )
 from millrace.functions.positions import numbered
+from millrace.functions.selection import first_rows
 
 from .registry import ordered, query
 
@@ -206,6 +207,22 @@ def lim_parallel(load, spark):
     return LimitRows(9000)(sortable(load)).frame()
 
 
+@query("lim_selected", f"SELECT * FROM ({SORTABLE_SQL}) ORDER BY {SORTED} LIMIT 12345")
+def lim_selected(load, spark):
+    """The way of limits above a million rows: counts per key range, no task with all rows."""
+    return first_rows(sortable(load), 12345).frame()
+
+
+@query(
+    "lim_selected_unordered",
+    "SELECT least(count(*), 40000) AS n, least(count(*), 40000) AS different FROM lineitem",
+)
+def lim_selected_unordered(load, spark):
+    """A table without order: any 40,000 rows, each one once."""
+    rows = first_rows(Table.of(load("lineitem")), 40000).frame()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey", "l_linenumber").alias("different"))
+
+
 # -- casts -------------------------------------------------------------------------
 
 
