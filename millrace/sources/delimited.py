@@ -17,6 +17,7 @@ from ..config import check_value, option, relative_path, under_root
 from ..errors import ConfigError, DataError, SchemaError
 from ..table import HIDDEN, OrderKey, Table, col
 from .promotion import promoted, promoted_types
+from .quoted import left_open, lines_of, opened, records, split_parities
 
 CORRUPT = "__corrupt"
 
@@ -26,14 +27,24 @@ CORRUPT = "__corrupt"
 EMPTY_TEXT = f"\ufdd0{uuid.uuid4().hex}"
 
 
+@dataclass(frozen=True)
+class Files:
+    """A path or files that are read by lines, files read whole, and records of the others."""
+
+    plain: str | list[str] | None = None
+    whole: str | list[str] | None = None
+    records: DataFrame | None = None
+    split: list[str] | None = None
+
+
 @dataclass(frozen=True)
 class DelimitedSource:
     """Read delimited text: a file, a directory or a glob below the input root.
 
     Empty fields are null.  One extra pass decides the column types over all rows
     and checks that every row has the right number of fields.  Files are split
-    among tasks but for those with a quoted field that holds a line break, which
-    another cheap pass finds out; pass `multi_line` to skip it.
+    among tasks, also those with quoted fields that hold line breaks: a cheap pass
+    finds these out and counts the quotes of each split.  Pass `multi_line` to skip it.
     """
 
     source_path: str = option("text", key="sourcePath")
@@ -73,45 +84,76 @@ class DelimitedSource:
         ]
         return _in_file_order(self._rows(spark, files, T.StructType(fields)), columns)
 
-    def _by_line_breaks(self, spark: SparkSession, path: str) -> dict[bool, list[str] | str]:
-        """Which files have fields over several lines; only those are not split.
+    def _by_line_breaks(self, spark: SparkSession, path: str) -> Files:
+        """How each file is read: those with fields over several lines by records.
 
-        A line with an odd number of quotes opens or closes such a field.
+        A line with an odd number of quotes opens or closes such a field.  A file in
+        which quotes stand elsewhere too is left to the parser, in one task.
         """
         if self.multi_line is not None:
-            return {self.multi_line: path}
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        lines = spark.read.text(path)
-        broken = lines.where(quotes % 2 == 1).select(F.input_file_name().alias("file")).distinct()
-        whole = {r.file for r in broken.collect()}  # names of files, which the driver lists anyway
-        if not whole:
-            return {False: path}
-        plain = [f for f in lines.inputFiles() if f not in whole]
-        return {True: sorted(whole)} | ({False: plain} if plain else {})
-
-    def _rows(self, spark: SparkSession, files: dict[bool, list[str] | str], schema: T.StructType) -> DataFrame:
+            return Files(whole=path) if self.multi_line else Files(plain=path)
+        lines = lines_of(spark).text(path)
+        splits = split_parities(lines)  # of splits, which the driver plans anyway
+        broken = {s.uri for s in splits if s.broken}
+        if not broken:
+            return Files(plain=path)
+        whole = left_open(splits)
+        plain = [f for f in lines.inputFiles() if f not in broken]
+        names = {s.uri: s.file for s in splits}
+        split = sorted(broken - whole)
+        found = None
+        if split:
+            found = records(spark, _as_globs(split), opened(splits), self.separator)
+            stray = {r.file for r in found.where("stray").select("file").distinct().collect()}
+            whole |= {f for f in split if names[f] in stray}
+            found = found.where(~F.col("file").isin(sorted(stray))) if stray else found
+            split = [f for f in split if f not in whole]
+        return Files(plain, sorted(whole), found if split else None, split)
+
+    def _rows(self, spark: SparkSession, files: Files, schema: T.StructType) -> DataFrame:
         """The records of all files with the place of each."""
         parts = [
             _loaded(self._reader(spark, multi_line).schema(schema), paths).select("*", *_place())
-            for multi_line, paths in files.items()
+            for multi_line, paths in ((False, files.plain), (True, files.whole))
+            if paths
         ]
+        if files.records is not None:
+            parts.append(self._parsed(spark, files.records, schema))
         return reduce(DataFrame.unionByName, parts)
 
-    def _names(self, spark: SparkSession, files: dict[bool, list[str] | str]) -> list[str]:
+    def _parsed(self, spark: SparkSession, found: DataFrame, schema: T.StructType) -> DataFrame:
+        """Records parsed one by one; the first of each file has to be the header, if there is one."""
+        options = {k: str(v) for k, v in self._options(True).items() if k not in ("header", "enforceSchema")}
+        names = [f.name for f in schema]
+        fields = ", ".join(f"`{CORRUPT if n == CORRUPT else f'_{i}'}` string" for i, n in enumerate(names))
+        values = found.select("*", F.from_csv("record", fields, options).alias("__values"))
+        parsed = [F.col("__values")[CORRUPT if n == CORRUPT else f"_{i}"].alias(n) for i, n in enumerate(names)]
+        place = [F.col(c).alias(f"{HIDDEN}{i}") for i, c in enumerate(("file", "start", "place"))]
+        if self.has_header:
+            header = [n for n in names if n != CORRUPT]
+            same = reduce(Column.__and__, [F.col("__values")[f"_{i}"].eqNullSafe(F.lit(n)) for i, n in enumerate(header)])
+            other = F.raise_error(F.lit("A header differs from the first file's."))
+            values = values.where(F.when(~F.col("first"), True).when(same, False).otherwise(other.cast("boolean")))
+        return values.select(*parsed, *place)
+
+    def _names(self, spark: SparkSession, files: Files) -> list[str]:
         """The column names, from the first record; Spark would repair doubtful ones."""
-        multi_line, paths = next(iter(files.items()))
-        records = _loaded(self._reader(spark, multi_line).option("header", False), paths)
-        if not records.columns:
+        multi_line, paths = (False, files.plain) if files.plain else (True, files.whole or files.split)
+        first = _loaded(self._reader(spark, multi_line).option("header", False), paths)
+        if not first.columns:
             raise DataError("The delimited source is empty.")
         if not self.has_header:
-            return [f"column_{i + 1}" for i in range(len(records.columns))]
-        names = list(records.head(1)[0])
+            return [f"column_{i + 1}" for i in range(len(first.columns))]
+        names = list(first.head(1)[0])
         if None in names or EMPTY_TEXT in names or len(set(names)) != len(names):
             raise SchemaError("The header has empty or repeated names.")
         return names
 
     def _reader(self, spark: SparkSession, multi_line: bool) -> DataFrameReader:
-        return spark.read.options(
+        return spark.read.options(**self._options(multi_line))
+
+    def _options(self, multi_line: bool) -> dict:
+        return dict(
             header=self.has_header,
             sep=self.separator,
             quote='"',
@@ -135,11 +177,14 @@ def _place() -> list[Column]:
     return [k.alias(f"{HIDDEN}{i}") for i, k in enumerate(keys)]
 
 
+def _as_globs(uris: list[str]) -> list[str]:
+    """Files by their encoded names."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in uris]
+
+
 def _loaded(reader: DataFrameReader, paths: list[str] | str) -> DataFrame:
     """A path or glob as it was given, or files by their encoded names."""
-    if isinstance(paths, str):
-        return reader.csv(paths)
-    return reader.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in paths])
+    return reader.csv(paths if isinstance(paths, str) else _as_globs(paths))
 
 
 def _with_empty_texts(name: str) -> Column:

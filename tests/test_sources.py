@@ -1,6 +1,8 @@
+import csv
 import io
 import json
 import os
+import random
 import zipfile
 
 import pytest
@@ -9,11 +11,13 @@ from millrace import ConfigError, DataError, FlattenDocument, SchemaError
 from millrace.sources.delimited import DelimitedSource
 from millrace.sources.documents import JsonSource
 from millrace.sources.pages import PagedSource
+from millrace.sources.quoted import lines_of, opened, split_parities
 from millrace.sources.relational import RelationalSource
 from millrace.sources.workbook import WorkbookSource
 
 
 def put(scratch, name, text):
+    os.makedirs(os.path.dirname(f"{scratch}/{name}"), exist_ok=True)
     with open(f"{scratch}/{name}", "w", newline="") as file:
         file.write(text)
 
@@ -346,6 +350,7 @@ def test_page_configurations(settings):
 
 
 def put(scratch, name, text):
+    os.makedirs(os.path.dirname(f"{scratch}/{name}"), exist_ok=True)
     with open(f"{scratch}/{name}", "w", newline="") as file:
         file.write(text)
 
@@ -389,11 +394,67 @@ def test_partition_column_by_configuration():
         RelationalSource("jdbc:x", table="t", partition_column="k; drop")
 
 
-def test_only_files_with_line_breaks_are_read_whole(spark, scratch):
+def test_files_with_line_breaks_are_split_too(spark, scratch):
     os.makedirs(f"{scratch}/d")
     put(scratch, "d/a [1].csv", "n,v\n1,x\n2,y\n")
     put(scratch, "d/b c.csv", 'n,v\n3,"p\nq"\n4,z\n')
     table = DelimitedSource("d")(spark, scratch)
     assert rows(table) == [(1, "x"), (2, "y"), (3, "p\nq"), (4, "z")]
     plan = table.df._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in plan
+    assert "Union" in plan and "multiLine -> true" not in plan
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_over_split_ends(spark, scratch, small_splits, end):
+    r = random.Random(4)
+    words = ["a", "", 'q"q', "x,y", "two\nlines", "three\n\nlines\r\nor more", "é" * 40, "\n", '"', "end\r"]
+    made = [(i, r.choice(words), r.choice(words) * r.randrange(1, 4)) for i in range(900)]
+    made[450] = (450, "b", "\n".join(f'line {i} "quoted", more' for i in range(600)))  # over several splits
+    for number in range(2):
+        text = io.StringIO(newline="")
+        out = csv.writer(text, lineterminator=end, quoting=csv.QUOTE_NONNUMERIC)
+        out.writerow(["n", "v", "w"])
+        out.writerows(made[number::2])
+        put(scratch, f"{number}.csv", text.getvalue())
+    table = DelimitedSource("*.csv")(spark, scratch)
+    want = [(n, v, w) for k in range(2) for n, v, w in made[k::2]]
+    assert rows(table) == want
+    found = split_parities(lines_of(spark).text(scratch))
+    assert len(found) > 20 and any(s.parity for s in found)
+    starts = {(s.file, s.start) for s in found}
+    assert {k for k, inside in opened(found).items() if inside} <= starts
+    place = [k.column for k in table.order]
+    assert table.df.select(*place[:2]).distinct().count() > 20
+
+
+def test_quotes_inside_plain_fields_are_left_to_the_parser(spark, scratch, small_splits):
+    body = "".join(f'{i},in"ch {i}\n' for i in range(500))
+    put(scratch, "a.csv", "n,v\n" + body)
+    put(scratch, "b.csv", 'n,v\n500,"ends\nwell"\n501,3" pipe\n502,4" pipe\n')
+    put(scratch, "c.csv", 'n,v\n503,"x\ny"\n')
+    table = DelimitedSource("*.csv")(spark, scratch)
+    got = rows(table)
+    assert [n for n, _ in got] == list(range(504))
+    assert got[3] == (3, 'in"ch 3') and got[500] == (500, "ends\nwell") and got[501] == (501, '3" pipe')
+
+
+def test_headers_of_split_files_must_agree(spark, scratch):
+    put(scratch, "a.csv", 'n,v\n1,"a\nb"\n')
+    put(scratch, "b.csv", 'n,w\n2,"c\nd"\n')
+    with pytest.raises(Exception, match="header"):
+        rows(DelimitedSource("*.csv")(spark, scratch))
+    put(scratch, "b.csv", 'n,v\n2,"c\nd",3\n')
+    with pytest.raises(DataError):
+        DelimitedSource("*.csv")(spark, scratch)
+    put(scratch, "c/one.csv", 'v\n"only\nthis"\n\nend\n')
+    assert rows(DelimitedSource("c")(spark, scratch)) == [("only\nthis",), ("end",)]
+    put(scratch, "e/none.csv", '1,"a\nb",\n,"",c\n')
+    assert rows(DelimitedSource("e", has_header=False)(spark, scratch)) == [(1, "a\nb", None), (None, "", "c")]
