@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,8 +170,16 @@ def signature_rows(words: int):
     return run
 
 
-def candidate_rows(words: int, percent: int):
-    """Rows (key, set), each once a slice."""
+ASKED, SHARED, KNOWN = range(3)
+KEY_BYTES = 6
+
+
+def candidate_rows(words: int, percent: int, ranges: int):
+    """Rows (range, set, kind, keys): the keys of each set, batched by key range, each once a slice.
+
+    Of the sets of a slice that share a key one asks for it, marked as shared; that the
+    others share it is known, so a key of very many sets is one row a slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -183,14 +191,64 @@ def candidate_rows(words: int, percent: int):
             _, first = np.unique(nodes, return_index=True)
             once = np.zeros(len(nodes), dtype=bool)
             once[first] = True
-            kept = once[texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[kept].view(np.int64)), pa.array(nodes[texts[kept]])], ["key", "node"]
+            keys, texts = keys[once[texts]], texts[once[texts]]
+            order = np.lexsort((texts, keys))
+            keys, texts = keys[order], texts[order]
+            again = np.append(False, keys[1:] == keys[:-1])
+            fresh = ~(again & np.append(False, texts[1:] == texts[:-1]))
+            keys, texts, again = keys[fresh], texts[fresh], again[fresh]
+            kind = np.where(again, KNOWN, ASKED)
+            kind[np.flatnonzero(again[1:] & ~again[:-1])] = SHARED
+            part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.lexsort((kind, texts, part))
+            keys, texts, kind, part = (x[order] for x in (keys, texts, kind, part))
+            begin = np.flatnonzero(
+                np.append(True, (part[1:] != part[:-1]) | (texts[1:] != texts[:-1]) | (kind[1:] != kind[:-1]))
             )
+            edges = np.append(begin, len(keys))
+            sent = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].ravel()
+            own = nodes[texts[begin]]
+            # Known rows go where their set is dealt, not all to the range of a common key.
+            to = np.where(kind[begin] == KNOWN, own.view(np.uint64) % np.uint64(ranges), part[begin])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(to.astype(np.int32)), pa.array(part[begin].astype(np.int32)), pa.array(own),
+                    pa.array(kind[begin].astype(np.int8)), blobs(sent, edges * KEY_BYTES),
+                ],
+                ["to", "part", "set", "kind", "keys"],
+            )
 
     return run
 
 
+CANDIDATES = "to int, part int, set long, kind byte, keys binary"
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, set) of the keys that more than one set has, from the rows of whole ranges."""
+    for table in groups(batches, "to"):
+        packed = table.column("keys").to_pylist()
+        counts = np.array([len(k) // KEY_BYTES for k in packed])
+        padded = np.zeros((counts.sum(), 8), dtype=np.uint8)
+        padded[:, :KEY_BYTES] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, KEY_BYTES)
+        part, owner, kind = (np.repeat(table.column(c).to_numpy(), counts) for c in ("part", "set", "kind"))
+        keys = padded.view(np.uint64).ravel() | part.astype(np.uint64) << np.uint64(8 * KEY_BYTES)
+        known = kind == KNOWN
+        order = np.lexsort((owner[~known], keys[~known]))
+        asked, asking, marked = keys[~known][order], owner[~known][order], (kind[~known] == SHARED)[order]
+        fresh = np.append(True, asked[1:] != asked[:-1])[: len(asked)]
+        group = np.cumsum(fresh) - 1
+        other = np.append(False, (asking[1:] != asking[:-1]) & ~fresh[1:])[: len(asked)]
+        found = (np.bincount(group, marked | other) > 0)[group] if len(group) else fresh
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([asked[found], keys[known]]).view(np.int64)),
+                pa.array(np.concatenate([asking[found], owner[known]])),
+            ],
+            ["key", "set"],
+        )
+
+
 def packed_sets(words: int):
     """(set, packed text), each set once a slice."""
 
@@ -401,10 +459,10 @@ def near_copies(
     sets = signed.where("n > 0").groupBy("set").agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("low_id"), F.max("n").alias("n")
     )
-    rows = texts.mapInArrow(candidate_rows(words, percent), "key long, set long")
-    of_key = Window.partitionBy("key")
-    shared = rows.select("key", "set", F.min("set").over(of_key).alias("low"), F.max("set").over(of_key).alias("high"))
-    shared = written(shared.where("low < high").select("key", "set").distinct(), "shared")
+    ranges = partitions(spark)
+    rows = texts.mapInArrow(candidate_rows(words, percent, ranges), CANDIDATES).repartitionById(ranges, "to")
+    shared = rows.sortWithinPartitions("to").mapInArrow(shared_keys, "key long, set long")
+    shared = written(shared.distinct(), "shared")
     tasks = written(join_tasks(signed, sets, shared, unit_tokens, percent), "tasks")
     packed = texts.mapInArrow(packed_sets(words), "set long, packed binary")
     linked = (
