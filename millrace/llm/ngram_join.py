@@ -172,6 +172,7 @@ def signature_rows(words: int):
 
 ASKED, SHARED, KNOWN = range(3)
 KEY_BYTES = 6
+LEAST_RANGES = 64  # so that a set's rows do not grow with the partitions of small clusters
 
 
 def candidate_rows(words: int, percent: int, ranges: int):
@@ -459,7 +460,7 @@ def near_copies(
     sets = signed.where("n > 0").groupBy("set").agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("low_id"), F.max("n").alias("n")
     )
-    ranges = partitions(spark)
+    ranges = max(LEAST_RANGES, partitions(spark))
     rows = texts.mapInArrow(candidate_rows(words, percent, ranges), CANDIDATES).repartitionById(ranges, "to")
     shared = rows.sortWithinPartitions("to").mapInArrow(shared_keys, "key long, set long")
     shared = written(shared.distinct(), "shared")
