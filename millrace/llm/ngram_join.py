@@ -422,9 +422,10 @@ def join_tasks(signed: DataFrame, sets: DataFrame, shared: DataFrame, unit_token
     alike = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *hashed)
     kept = alike.groupBy("m", "hash1", "hash2").agg(F.min("key").alias("key")).select("key")
     outlines = signed.join(shared.select("set").distinct(), "set", "left_semi")
-    outlines = outlines.groupBy("set").agg(F.first("n").alias("n"), F.first("outline").alias("outline"))
-    parts = shared.join(kept, "key").join(outlines, "set")
-    dealt = in_blocks(parts, "key", unit_tokens).select("task", "set", "n", "block", "cross", "outline")
+    outlines = outlines.groupBy("set").agg(F.first("outline").alias("outline"))
+    # Sizes are dealt first: an outline travels once, to its task.
+    parts = shared.join(kept, "key").join(sets.select("set", "n"), "set")
+    dealt = in_blocks(parts, "key", unit_tokens).select("task", "set", "n", "block", "cross").join(outlines, "set")
     edges = (
         dealt.repartition(partitions(shared.sparkSession), "task").sortWithinPartitions("task")
         .mapInArrow(sieve(percent), "node long, low long")
