@@ -1,18 +1,21 @@
 import csv
+import functools
 import io
 import json
 import os
 import random
 import zipfile
 
+import duckdb
 import pytest
+from pyspark.sql import DataFrame
 
 from millrace import ConfigError, DataError, FlattenDocument, SchemaError
 from millrace.sources.delimited import DelimitedSource
 from millrace.sources.documents import JsonSource
 from millrace.sources.pages import PagedSource
 from millrace.sources.quoted import lines_of, opened, split_parities
-from millrace.sources.relational import RelationalSource
+from millrace.sources.relational import JdbcDatabase, RelationalSource
 from millrace.sources.workbook import WorkbookSource
 
 
@@ -394,6 +397,66 @@ def test_partition_column_by_configuration():
         RelationalSource("jdbc:x", table="t", partition_column="k; drop")
 
 
+class Answering:
+    """Answers statements from an in-memory table of this process and keeps their texts."""
+
+    def __init__(self, spark, rows, kind):
+        self.statements, self.schema = [], f"id bigint, at {kind}, name string"
+        self.connection = duckdb.connect()
+        self.connection.execute(f'CREATE TABLE t (id BIGINT, "at" {kind}, name VARCHAR)')
+        self.connection.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+
+    def __call__(self, spark, options, predicates=None):
+        if predicates is None:
+            texts = [options["query"]]
+        else:
+            texts = [f"SELECT * FROM {options['dbtable']} WHERE {p}" for p in predicates]
+        self.statements.append(texts)
+        found = [self.connection.execute(t).fetchall() for t in texts]
+        self.sizes = [len(rows) for rows in found]
+        kind = self.schema.split(",")[1].split()[1]
+        schema = self.schema if predicates is not None else f"low {kind}, high {kind}"
+        frames = [spark.createDataFrame(rows, schema).coalesce(1) for rows in found]
+        return functools.reduce(DataFrame.unionAll, frames)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_queries_are_read_in_slices_of_equal_size(spark, kind):
+    made = [(i, None if i % 50 == 0 else (i * 7) % 400 // (2 if i % 3 else 1), "x") for i in range(1000)]
+    if kind == "string":
+        made = [(i, None if v is None else f"o'{v}", n) for i, v, n in made]
+    answer = Answering(spark, made, kind)
+    database = JdbcDatabase("jdbc:x", slice_column="at", connections=8, load=answer)
+    df = database.query(spark, "SELECT * FROM t WHERE id >= 100 ORDER BY id", None, 10)
+    assert sorted(tuple(r) for r in df.collect()) == [r for r in made if r[0] >= 100]
+    assert 6 <= len(answer.sizes) <= 8 and max(answer.sizes) < 3 * sum(answer.sizes) / len(answer.sizes)
+    (bounds,), slices = answer.statements
+    assert bounds.count("NTILE(8)") == 1 and bounds.count("FROM (SELECT * FROM t WHERE id >= 100 ORDER BY id) wrapped") == 1
+    assert slices[0].endswith('OR "at" IS NULL)') and ' <= ' in slices[-1]
+
+
+def test_increments_are_sliced_by_their_checkpoint_and_leave_later_rows(spark):
+    answer = Answering(spark, [(i, i // 2, "x") for i in range(400)], "bigint")
+
+    class Growing:
+        def __call__(self, spark, options, predicates=None):
+            if predicates is not None:  # rows arrive after the bounds were read
+                answer.connection.execute("INSERT INTO t SELECT 1000 + i, 500 + i, 'late' FROM range(20) s(i)")
+            return answer(spark, options, predicates)
+
+    source = RelationalSource("jdbc:x", table="t", checkpoint_column="at")
+    database = JdbcDatabase("jdbc:x", slice_column="at", connections=4, load=Growing())
+    got = source(spark, database, {"value": 149}).frame()
+    assert sorted(r.at for r in got.collect()) == sorted(v for v in range(150, 200) for _ in range(2))
+    assert 'WHERE "at" > 149' in answer.statements[0][0] and len(answer.statements[1]) == 4
+    assert source.candidate(got) == {"value": 199}
+    query = RelationalSource("jdbc:x", query='SELECT * FROM t WHERE "at" > %(checkpoint)s ORDER BY id', checkpoint_column="at")
+    late = query(spark, database, {"value": 199}).frame()
+    assert {r.name for r in late.collect()} == {"late"}
+    nothing = query(spark, database, {"value": 10_000}).frame()
+    assert nothing.count() == 0 and answer.statements[-1][0].endswith('"at" IS NULL')
+
+
 def test_files_with_line_breaks_are_split_too(spark, scratch):
     os.makedirs(f"{scratch}/d")
     put(scratch, "d/a [1].csv", "n,v\n1,x\n2,y\n")
