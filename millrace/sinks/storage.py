@@ -78,3 +78,37 @@ def swap_in(spark: SparkSession, staged: str, target: str, run_id: str) -> None:
         raise
     if had_old:
         remove(spark, old)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders directly in a folder."""
+    files, location = _handle(spark, path)
+    if not files.exists(location):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(location) if f.isDirectory())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    files, location = _handle(spark, path)
+    stream = files.open(location)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small text file; false if there is one of that name already."""
+    files, location = _handle(spark, path)
+    try:
+        stream = files.create(location, False)
+    except Exception:
+        if files.exists(location):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True

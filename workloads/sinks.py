@@ -11,6 +11,7 @@ from millrace.sinks.artifacts import ArtifactStore
 from millrace.sinks.datasets import DatasetStore, Lifecycle
 from millrace.sinks.files import CsvSink, JsonSink, ParquetSink
 from millrace.sinks.relational import FolderTarget, RelationalSink
+from millrace.sinks.snapshots import SnapshotTarget
 from millrace.sources.dataset import scan
 from millrace.sources.documents import JsonSource
 from millrace.sources.relational import CatalogDatabase
@@ -133,6 +134,26 @@ def snk_append_idempotent(load, spark):
     return spark.read.parquet(target.path("events"))
 
 
+@query("snk_snapshot_replace", "SELECT * FROM supplier WHERE s_acctbal > 0")
+def snk_snapshot_replace(load, spark):
+    """A replaced table of numbered snapshots."""
+    target = SnapshotTarget(scratch_path(spark, "tables"), {})
+    RelationalSink("supplier").write(Table.of(load("supplier")), "run1", target)
+    RelationalSink("supplier").write(Table.of(load("supplier").where("s_acctbal > 0")), "run2", target)
+    return target.read(spark, "supplier")
+
+
+@query("snk_snapshot_append", "SELECT * FROM orders")
+def snk_snapshot_append(load, spark):
+    """Three loads that overlap; each is compared with the parts its keys can be in."""
+    target = SnapshotTarget(scratch_path(spark, "tables"), {"orders": ["o_orderkey"]})
+    middle = load("orders").agg(F.floor(F.avg("o_orderkey"))).first()[0]
+    for run, rows in enumerate(("o_orderkey <= {}", "o_orderkey > {} - 1000", "true")):
+        table = ordered(load("orders").where(rows.format(middle)), "o_orderkey")
+        RelationalSink("orders", "append").write(table, f"run{run}", target)
+    return target.read(spark, "orders")
+
+
 # -- incremental runs --------------------------------------------------------------
 
 
