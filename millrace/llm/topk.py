@@ -33,6 +33,7 @@ BLOCK = 8192
 QUERIES = 4096
 ROWS = 256
 EXACT = float(1 << 53)
+LARGEST = float(1 << 62)
 
 
 def stacked(blobs: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -61,8 +62,13 @@ def quantise(scale: float):
         for batch in batches:
             column = batch.column("vec")
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-            whole = np.floor(np.asarray(column.flatten(), dtype=np.float64) * scale).astype(np.int64)
             ends = np.cumsum(lengths)
+            with np.errstate(over="ignore"):
+                floors = np.floor(np.asarray(column.flatten(), dtype=np.float64) * scale)
+                far = np.concatenate([[0], np.cumsum(np.minimum(floors * floors, LARGEST))])
+            if (far[ends] - far[ends - lengths] >= LARGEST).any():
+                raise ValueError("The squared length of a vector exceeds 62 bits.")
+            whole = floors.astype(np.int64)
             squares = np.concatenate([[0], np.cumsum(whole * whole)])
             rows = [whole[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +199,8 @@ def top_k(
     `queries` has the columns of `vectors`.  Candidates are all rows of another id; ties
     go to the smaller id.  Rows without id, and vectors that are null or hold null or
     non-finite components, take no part; a shorter vector counts as ending in zeros.  A
-    repeated row is a candidate, or a query, once more under its id.
+    repeated row is a candidate, or a query, once more under its id.  Integer vectors of a
+    squared length of 2 ** 62 or more are an error, not a wrong result.
     """
     spark = ready(vectors.sparkSession)
 

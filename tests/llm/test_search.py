@@ -140,3 +140,11 @@ def test_far_annuli_are_not_visited():
     )
     rings = [b.column("ring").to_pylist() for b in topk.visits(Shared, True)(iter([batch]))]
     assert rings == [[1]]
+
+
+@pytest.mark.parametrize("large", [1e9, 1e17, 1e300])
+def test_vectors_beyond_the_exact_range_are_an_error(spark, large):
+    rows = [(0, [large, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds 62 bits"):
+        topk.top_k(vectors, vectors.where("vec_id = 0")).collect()
