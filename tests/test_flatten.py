@@ -5,6 +5,7 @@ import random
 import pytest
 
 from millrace import ConfigError, DataError, Documents, FlattenDocument, SchemaError, Table
+from millrace.functions.shapes import record_rows
 from millrace.table import quoted
 
 
@@ -250,3 +251,43 @@ def test_a_document_that_does_not_fit_is_an_error(spark):
     for body in ("no json", '{"a":"text"}'):
         with pytest.raises(Exception, match="could not be read"):
             flatten(documents(spark, [body]), shape).frame().collect()
+
+
+def test_products_of_arrays_are_not_held_in_memory():
+    def built(record, prefix=""):
+        """The product as lists of all rows."""
+        rows = [{}]
+        for key, item in record.items():
+            rows = [row | part for row in rows for part in offers(item, f"{prefix}.{key}" if prefix else key)]
+        return rows
+
+    def offers(item, column):
+        if isinstance(item, dict):
+            return built(item, column)
+        if isinstance(item, list):
+            return [part for element in item for part in offers(element, column)]
+        return [{column: item}]
+
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.3:
+            return {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+        if depth and kind < 0.6:
+            element = (lambda: {f"e{i}": value(depth - 1) for i in range(rng.randrange(1, 3))}) if kind < 0.45 else rng.random
+            return [element() for _ in range(rng.choice([0, 1, 1, 2, 3]))]
+        return rng.choice([None, True, 1, "x"])
+
+    records = [{f"c{i}": value(3) for i in range(rng.randrange(5))} for _ in range(500)]
+    for record in records:
+        got, want = list(record_rows(record, True, ".")), built(record)
+        assert got == want and [list(r) for r in got] == [list(r) for r in want]
+    assert any(len(built(r)) > 20 for r in records)
+
+    wide = {"id": 7, "in": {x: list(range(200)) for x in "abcd"}}
+    begin = list(itertools.islice(record_rows(wide, True, "."), 40_201))
+    assert begin[0] == {"id": 7, "in.a": 0, "in.b": 0, "in.c": 0, "in.d": 0}
+    assert begin[-1] == {"id": 7, "in.a": 0, "in.b": 1, "in.c": 1, "in.d": 0}
+    singles = {f"s{i}": [i] for i in range(3000)}
+    assert len(next(record_rows(singles, True, "."))) == 3000
