@@ -6,6 +6,7 @@ import pytest
 from millrace import ConfigError, DataError, SchemaError
 from millrace.plans.catalog import COMPONENTS
 from millrace.plans.pipeline import Context, Pipeline
+from millrace.sinks import storage
 from millrace.sinks.relational import FolderTarget
 from millrace.sources.pages import PagedSource
 from millrace.sources.relational import (
@@ -196,6 +197,36 @@ def test_checkpoint_stores_keep_the_latest_of_successful_runs(spark, scratch):
             checked_json(bad)
 
 
+@pytest.mark.parametrize("after, kept", [(None, 1), (0, 2)])
+def test_a_checkpoint_writer_that_is_overtaken_looks_again_or_gives_way(spark, scratch, monkeypatch, after, kept):
+    store, create, overtaken = CheckpointStore(spark, f"{scratch}/c"), storage.create_text, []
+
+    def late(session, path, text):
+        if not overtaken:
+            overtaken.append(path)
+            assert store.commit("p", "s", 2, "r2", "succeeded")
+        return create(session, path, text)
+
+    monkeypatch.setattr(storage, "create_text", late)
+    assert store.commit("p", "s", 1, "r1", "succeeded", after) == (after is None)
+    assert store.load("p", "s") == kept
+    assert [r.checkpoint for r in store.table().collect()] == [str(kept)]
+
+
+def test_checkpoints_keep_two_files_a_key_and_pass_over_lost_writers(spark, scratch):
+    store = CheckpointStore(spark, f"{scratch}/c")
+    for n in range(1, 6):
+        assert store.commit("p", "s", n, f"r{n}", "succeeded", after=n - 1)
+    assert store.position("p", "s") == (5, 5)
+    folder = f"{scratch}/c/{storage.folders(spark, f'{scratch}/c')[0]}"
+    assert len(storage.visible_files(spark, folder)) == 2
+    assert storage.create_text(spark, f"{folder}/{6:020d}", '{"pipeline_id": "p", "che')
+    assert store.position("p", "s") == (5, 5)
+    assert [(r.pipeline_id, r.checkpoint) for r in store.table().collect()] == [("p", "5")]
+    assert store.commit("p", "s", 7, "r7", "succeeded")
+    assert store.position("p", "s") == (7, 7)
+
+
 def test_a_failing_commit_leaves_the_run_successful(spark, scratch):
     class Broken(CheckpointStore):
         def commit(self, *arguments):
