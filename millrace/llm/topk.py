@@ -7,15 +7,17 @@ of the highest scores and the triangle inequality holds.  Vectors are keyed by t
 nearest pivot and the distance to it: per pivot, annuli of ascending distance.  A query
 first searches the annulus its own distance falls in, which gives it a k-th score; then it
 goes to the annuli whose bound, from the distances to their pivot, can still reach that
-score, and to no other.
+score, and to no other.  Distances are those of vectors divided by the greatest component,
+so no square is beyond the range of a float; the scores themselves are exact integers.
 
 Pivots come from at most `SAMPLE` vectors; every vector is indexed.  Annuli are cut in
-blocks of about `BLOCK` vectors by a hash of the id, so one very common vector is many
-blocks, and queries meet a block at most `QUERIES` at a time.
+blocks of about `BLOCK` vectors by a hash of the row, so one very common vector, or id, is
+many blocks, and queries meet a block at most `QUERIES` at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,54 +35,93 @@ BLOCK = 8192
 QUERIES = 4096
 ROWS = 256
 EXACT = float(1 << 53)
-LARGEST = float(1 << 62)
+LONG = float(1 << 63)
+OWN = np.iinfo(np.int64).min
+BENEATH = OWN + 1
 
 
 def stacked(blobs: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Integer vectors of `width` components; shorter ones end in zeros."""
-    rows = [np.frombuffer(b, np.int64) for b in blobs.to_pylist()]
+    """Vectors of `width` whole components; shorter ones end in zeros."""
+    rows = [np.frombuffer(b, np.float64) for b in blobs.to_pylist()]
     if rows and all(len(r) == width for r in rows):
         return np.stack(rows)
-    out = np.zeros((len(rows), width), dtype=np.int64)
+    out = np.zeros((len(rows), width))
     for at, row in enumerate(rows):
         out[at, : len(row)] = row
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of `a` and `b`."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if most < EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < float(1 << 62):
-        return a @ b.T
-    raise ValueError("Inner products exceed 64 bits.")
+def lengths_of(a: np.ndarray) -> np.ndarray:
+    """The length of each row, also where its square is beyond the range of a float."""
+    size = np.abs(a).max(axis=1, initial=0.0)
+    return size * np.sqrt(np.square(a / np.where(size > 0, size, 1.0)[:, None]).sum(axis=1))
+
+
+def wrapped(a: np.ndarray) -> np.ndarray:
+    """Whole components modulo 2 ** 64."""
+    far = np.abs(a) >= LONG
+    out = np.where(far, 0.0, a).astype(np.int64)
+    for at in zip(*np.nonzero(far)):
+        out[at] = (int(a[at]) + (1 << 63)) % (1 << 64) - (1 << 63)
+    return out
+
+
+def products(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of all rows of `a` and `b`, and `OWN` where `own` is set.
+
+    Products of lengths bound every sum: below 2 ** 53 floats are exact.  Beyond that sums
+    modulo 2 ** 64 are, if the float sum and its error show that the result is a long;
+    where they do not tell, Python integers do.  A result below all longs is `BENEATH`,
+    which can rank last only; one above them is an error.
+    """
+    lengths, others = lengths_of(a), lengths_of(b)
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = a @ b.T
+        if lengths.max(initial=0) * others.max(initial=0) < 0.99 * EXACT:
+            return np.where(own, OWN, near.astype(np.int64))
+        reach = np.outer(lengths, others)
+        exact = np.where(reach < 0.99 * EXACT, near, 0.0).astype(np.int64)
+        scores = np.where(reach < 0.99 * EXACT, exact, wrapped(a) @ wrapped(b).T)
+        error = reach * (max(a.shape[1], 1) * 2.0**-52)
+        sure = (reach < 0.99 * LONG) | (np.abs(near) + error < 0.99 * LONG)
+        beneath = near + error < -LONG
+        above = near - error >= LONG
+    for at in zip(*np.nonzero(~(sure | beneath | above | own))):
+        value = sum(int(x) * int(y) for x, y in zip(a[at[0]], b[at[1]]) if x and y)
+        above[at], beneath[at] = value >= 1 << 63, value <= BENEATH
+        scores[at] = 0 if above[at] or beneath[at] else value
+    if (above & ~own & ~sure).any():
+        raise ValueError("An inner product exceeds 64 bits.")
+    return np.where(own, OWN, np.where(beneath & ~sure, BENEATH, scores))
 
 
 def quantise(scale: float):
+    """Whole components as floats, which hold them exactly; the greatest of them, and the
+    squared length in its units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("vec")
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lengths)
             with np.errstate(over="ignore"):
-                floors = np.floor(np.asarray(column.flatten(), dtype=np.float64) * scale)
-                far = np.concatenate([[0], np.cumsum(np.minimum(floors * floors, LARGEST))])
-            if (far[ends] - far[ends - lengths] >= LARGEST).any():
-                raise ValueError("The squared length of a vector exceeds 62 bits.")
-            whole = floors.astype(np.int64)
-            squares = np.concatenate([[0], np.cumsum(whole * whole)])
-            rows = [whole[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist())]
+                whole = np.floor(np.asarray(column.flatten(), dtype=np.float64) * scale) + 0.0
+            if not np.isfinite(whole).all():
+                raise ValueError("A scaled component is beyond the range of a float.")
+            rows = [whole[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist())]
+            sizes = np.array([np.abs(r).max(initial=0.0) for r in rows])
+            shares = np.array([np.square(r / (s or 1.0)).sum() for r, s in zip(rows, sizes)])
+            blobs = pa.array([r.tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(rows, pa.binary()), pa.array(squares[ends] - squares[ends - lengths])],
-                ["id", "vec", "norm"],
+                [batch.column("id"), blobs, pa.array(sizes, pa.float64()), pa.array(shares, pa.float64())],
+                ["id", "vec", "size", "share"],
             )
 
     return run
 
 
-def lifted(vectors: np.ndarray, norms: np.ndarray, most: int) -> np.ndarray:
-    return np.column_stack([vectors.astype(np.float64), np.sqrt(np.maximum(most - norms, 0).astype(np.float64))])
+def lifted(points: np.ndarray, most: float) -> np.ndarray:
+    return np.column_stack([points, np.sqrt(np.maximum(most - (points**2).sum(axis=1), 0))])
 
 
 def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -103,12 +144,11 @@ def keyed(shared):
     """Add the nearest pivot of each vector and its distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, width, most = shared.value
+        pivots, width, most, unit = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            norms = batch.column("norm").to_numpy()
-            far = distances(lifted(stacked(batch.column("vec"), width), norms, most), pivots)
+            far = distances(lifted(stacked(batch.column("vec"), width) / unit, most), pivots)
             cell = far.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -125,28 +165,29 @@ def visits(shared, later: bool):
     """The annuli of each query: the one its distance falls in, or later those its bound allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, width, most, rings = shared.value
+        pivots, width, most, unit, rings = shared.value
         cells, lows, highs = rings["cell"], rings["low"], rings["high"]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            norms = batch.column("norm").to_numpy().astype(np.float64)
-            points = np.column_stack([stacked(batch.column("vec"), width).astype(np.float64), np.zeros(len(norms))])
-            far = distances(points, pivots)[:, cells]
+            points = stacked(batch.column("vec"), width) / unit
+            norms = (points**2).sum(axis=1)
+            far = distances(np.column_stack([points, np.zeros(len(norms))]), pivots)[:, cells]
             gap = np.maximum(np.maximum(far - highs, lows - far), 0)
             home = np.lexsort((np.broadcast_to(np.arange(len(cells)), gap.shape), np.abs(far), gap), axis=1)[:, 0]
             wanted = np.zeros(gap.shape, dtype=bool)
             if later:
                 # Rounding of distances may not lose a vector: bounds get a margin.
-                least = np.maximum(gap - 1e-6 * (1 + far + highs), 0)
-                reach = (norms[:, None] + most - least**2) / 2
+                whole = (norms + most)[:, None]
+                least = np.maximum(gap - 1e-6 * (far + highs + np.sqrt(whole)), 0)
+                reach = (whole - least**2) / 2 + 1e-9 * whole
                 known = batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
-                wanted = ~(reach < known[:, None] - 1)
+                wanted = ~(reach < known[:, None] / unit / unit)
             else:
                 wanted[np.arange(len(home)), home] = True
             query, ring = np.nonzero(wanted)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(pa.array(query)) for c in ("id", "vec", "least")] 
+                [batch.column(c).take(pa.array(query)) for c in ("id", "vec", "least")]
                 + [pa.array(ring.astype(np.int32)), pa.array(ring == home[query])],
                 ["query_id", "query", "least", "ring", "home"],
             )
@@ -161,19 +202,15 @@ def best_of_block(width: int, k: int):
             ids = left.column("id").to_numpy()
             vectors = stacked(left.column("vec"), width)
             owners = right.column("query_id").to_numpy()
-            least = right.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            least = right.column("least").cast(pa.int64()).fill_null(int(BENEATH)).to_numpy()
             queries = stacked(right.column("query"), width)
-            lowest = np.iinfo(np.int64).min
             for start in range(0, len(owners), ROWS):
                 own = owners[start : start + ROWS]
-                scores = products(queries[start : start + ROWS], vectors)
-                scores[own[:, None] == ids[None, :]] = lowest
-                floor = np.full(len(own), lowest + 1)
-                known = least[start : start + ROWS]
-                floor[known == known] = known[known == known].astype(np.int64)
+                scores = products(queries[start : start + ROWS], vectors, own[:, None] == ids[None, :])
+                floor = least[start : start + ROWS]
                 if scores.shape[1] > k:
                     floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-                row, at = np.nonzero((scores >= floor[:, None]) & (scores > lowest))
+                row, at = np.nonzero((scores >= floor[:, None]) & (scores > OWN))
                 value, name = scores[row, at], ids[at]
                 order = np.lexsort((name, -value, row))
                 row, value, name = row[order], value[order], name[order]
@@ -199,8 +236,9 @@ def top_k(
     `queries` has the columns of `vectors`.  Candidates are all rows of another id; ties
     go to the smaller id.  Rows without id, and vectors that are null or hold null or
     non-finite components, take no part; a shorter vector counts as ending in zeros.  A
-    repeated row is a candidate, or a query, once more under its id.  Integer vectors of a
-    squared length of 2 ** 62 or more are an error, not a wrong result.
+    repeated row is a candidate once more under its id.  Finite components of any size take
+    part: only a score of the result that is no long is an error, or a component that is
+    infinite when scaled.
     """
     spark = ready(vectors.sparkSession)
 
@@ -208,23 +246,26 @@ def top_k(
         rows = renamed(df, id=id_column, vec=vector_column).where("id IS NOT NULL AND vec IS NOT NULL")
         finite = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
         rows = rows.where(finite).select(F.col("id").cast("long").alias("id"), "vec")
-        return rows.mapInArrow(quantise(scale), "id long, vec binary, norm long")
+        return rows.mapInArrow(quantise(scale), "id long, vec binary, size double, share double")
 
     index = written(valid(vectors), "vectors")
     asked = written(valid(queries).dropDuplicates(["id", "vec"]), "queries")
-    shape = index.agg(F.max("norm").alias("most"), F.max(F.octet_length("vec")).alias("bytes")).first()
-    widest = asked.agg(F.max(F.octet_length("vec")), F.count(F.lit(1))).first()
+    figures = (F.max("size").alias("size"), F.max(F.octet_length("vec")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    shape, widest = index.agg(*figures).first(), asked.agg(*figures).first()
     result = "query_id long, vec_id long, score long"
-    if shape["most"] is None or not widest[1]:
+    if not shape["n"] or not widest["n"]:
         empty = spark.createDataFrame([], result)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    most, width = shape["most"], max(shape["bytes"], widest[0]) // 8
+    width = max(shape["bytes"], widest["bytes"]) // 8
+    unit = math.ldexp(1.0, min(max(math.frexp(max(shape["size"], widest["size"]))[1], 0), 1023))
+    most = index.agg(F.max(F.col("share") * F.pow(F.col("size") / unit, F.lit(2.0)))).first()[0]
     sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    pivots = spread_pivots(lifted(stacked(sample.column("vec"), width), sample.column("norm").to_numpy(), most), PIVOTS)
-    cells = written(
-        index.mapInArrow(keyed(spark.sparkContext.broadcast((pivots, width, most))), "id long, vec binary, cell int, far double"),
-        "cells",
+    pivots = spread_pivots(lifted(stacked(sample.column("vec"), width) / unit, most), PIVOTS)
+    dealing = F.monotonically_increasing_id().alias("salt")  # fixed once it is written
+    found = index.mapInArrow(
+        keyed(spark.sparkContext.broadcast((pivots, width, most, unit))), "id long, vec binary, cell int, far double"
     )
+    cells = written(found.select("*", dealing), "cells")
     bounds = {r["cell"]: (r["low"], r["high"]) for r in cells.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high")).collect()}
     lows = F.get(F.array(*[F.lit(float(bounds.get(c, (0, 0))[0])) for c in range(len(pivots))]), F.col("cell"))
     steps = F.get(F.array(*[F.lit(float((bounds.get(c, (0, 0))[1] - bounds.get(c, (0, 0))[0]) / ANNULI or 1)) for c in range(len(pivots))]), F.col("cell"))
@@ -240,24 +281,25 @@ def top_k(
     ring_of = {r["place"]: i for i, r in enumerate(stats)}
     blocks = F.array(*[F.lit(-(-r["n"] // BLOCK)) for r in stats])
     ring = F.get(F.array(*[F.lit(ring_of.get(p, -1)) for p in range(len(pivots) * ANNULI)]), F.col("place"))
-    turns = -(-widest[1] // QUERIES)
+    turns = -(-widest["n"] // QUERIES)
     # The later search goes to every block but the one a query has seen: block 0 of its own
     # annulus.
-    dealt = cells.select("id", "vec", ring.alias("ring")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.get(blocks, F.col("ring"))).cast("int"))
-    shared = spark.sparkContext.broadcast((pivots, width, most, rings))
+    dealt = cells.select("id", "vec", "salt", ring.alias("ring")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("salt"), F.get(blocks, F.col("ring"))).cast("int")).drop("salt")
+    shared = spark.sparkContext.broadcast((pivots, width, most, unit, rings))
     keys = ["ring", "block", "turn"]
 
     def search(waiting: DataFrame, later: bool) -> DataFrame:
         sent = waiting.mapInArrow(visits(shared, later), "query_id long, query binary, least long, ring int, home boolean")
-        sent = sent.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+        sent = sent.withColumn("turn", F.pmod(F.xxhash64("query_id", "query"), F.lit(turns)).cast("int"))
         if later:
             sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("ring")) - 1)))
             sent = sent.where("NOT (home AND block = 0)")
         else:
             sent = sent.withColumn("block", F.lit(0))
         sent = sent.select("query_id", "query", "least", *keys)
-        return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(best_of_block(width, k), result)
+        met = dealt if later else dealt.where("block = 0")
+        return met.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(best_of_block(width, k), result)
 
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     near = written(search(asked.withColumn("least", F.lit(None).cast("long")), False), "near")
@@ -266,4 +308,6 @@ def top_k(
     waiting = asked.join(known, "id", "left")
     found = near.unionByName(search(waiting, True))
     ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    failure = F.raise_error(F.lit("An inner product exceeds 64 bits.")).cast("long")
+    score = F.when(F.col("score") > int(BENEATH), F.col("score")).otherwise(failure)
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))

@@ -131,20 +131,77 @@ def test_far_annuli_are_not_visited():
     """A bound that cannot reach the known score keeps a query away."""
 
     class Shared:
-        value = (np.array([[0.0, 0.0, 0.0]]), 2, 100, {"cell": np.array([0, 0]), "low": np.array([0.0, 9.0]), "high": np.array([1.0, 10.0])})
+        value = (np.array([[0.0, 0.0, 0.0]]), 2, 100.0, 1.0, {"cell": np.array([0, 0]), "low": np.array([0.0, 9.0]), "high": np.array([1.0, 10.0])})
 
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays(
-        [pa.array([1]), pa.array([np.array([10, 0]).tobytes()]), pa.array([100]), pa.array([99])], ["id", "vec", "norm", "least"]
+        [pa.array([1]), pa.array([np.array([10.0, 0.0]).tobytes()]), pa.array([99])], ["id", "vec", "least"]
     )
     rings = [b.column("ring").to_pylist() for b in topk.visits(Shared, True)(iter([batch]))]
     assert rings == [[1]]
 
 
-@pytest.mark.parametrize("large", [1e9, 1e17, 1e300])
-def test_vectors_beyond_the_exact_range_are_an_error(spark, large):
-    rows = [(0, [large, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 0.5])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="exceeds 62 bits"):
-        topk.top_k(vectors, vectors.where("vec_id = 0")).collect()
+@pytest.mark.parametrize("large", [1e6, 5e6, 1e9, 1e17, 1e300])
+def test_large_finite_components_take_part(spark, large):
+    """Rows of large components, of scores that fit a long or are far below it."""
+    draw = np.random.default_rng(3)
+    fits = min(large, 2.0**20)
+    rows = [(i, [float(-abs(x)) for x in draw.normal(size=2)] + (draw.normal(size=2) * fits).tolist()) for i in range(60)]
+    rows += [(100 + i, [large * (i + 1), 0.0, 1.0, 0.0]) for i in range(1, 3)]
+    rows += [(199, [large, large, *(draw.normal(size=2) * 9).tolist()]), (200, [0.0, -0.0, 3.0, -1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(x * 256) for x in v] for i, v in rows}
+    want = []
+    for i in sorted(i for i in whole if i % 20 == 0 and i != 100):
+        scored = sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)
+        want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scored[:5])]
+    got = topk.top_k(df, df.where("vec_id % 20 = 0")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("large, score", [(1e9, 256e9 * 512 + 256 * 256), (1e17, None), (-1e17, None), (1e300, None)])
+def test_only_a_result_beyond_a_long_is_an_error(spark, large, score):
+    vectors = spark.createDataFrame([(0, [large, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    found = topk.top_k(vectors, vectors.where("vec_id = 0"))
+    if score is None:
+        with pytest.raises(Exception, match="exceeds 64 bits"):
+            found.collect()
+    else:
+        assert found.where("rank = 1").first()["score"] == score
+
+
+def test_products_are_exact_at_every_size():
+    draw = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = (np.floor(draw.normal(size=(5, 3)) * 2.0 ** draw.integers(0, 45, size=(5, 1))) for _ in range(2))
+        a[0] = np.floor(draw.normal(size=3) * 2.0**70) * (draw.random(3) < 0.5)
+        own = draw.random((5, 5)) < 0.1
+        want = [[sum(int(x) * int(y) for x, y in zip(r, c)) for c in b] for r in a]
+        if any(v >= 1 << 63 and not own[i, j] for i, r in enumerate(want) for j, v in enumerate(r)):
+            with pytest.raises(ValueError):
+                topk.products(a, b, own)
+            continue
+        got = topk.products(a, b, own)
+        for i, r in enumerate(want):
+            for j, v in enumerate(r):
+                assert got[i, j] == (topk.OWN if own[i, j] else max(v, topk.BENEATH))
+
+
+def test_the_first_search_meets_one_block_a_ring(spark, monkeypatch):
+    """Rows of one id and one vector are dealt to many blocks, and the first search sees the first only."""
+    sizes = []
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    rows = [(7, [1.0, 2.0])] * 600 + [(i, [float(i), 1.0]) for i in range(10, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    real = topk.written
+
+    def written(frame, name):
+        out = real(frame, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(topk, "written", written)
+    got = topk.top_k(df, df.where("vec_id = 10")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [19, 18, 17, 16, 15]
+    assert dict(sizes)["vectors"] == 610 and dict(sizes)["near"] <= 5
