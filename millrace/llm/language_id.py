@@ -2,30 +2,36 @@
 
 Texts are read as lower-case letters with single blanks between runs of them; their n-grams
 of one to three characters are hashed to `BUCKETS`.  Learning counts buckets per language
-over every labelled text: tasks add up their counts, Spark sums them, and a matrix of
-log-probabilities, languages x buckets, is broadcast (its size is checked).  Scoring
-gathers matrix rows per n-gram and sums them per text in numpy.
+over every labelled text: tasks add up their counts, Spark sums them, and a task per
+language makes its row of log-probabilities.  Scoring gathers them per n-gram and sums them
+per text in numpy, `AT_ONCE` languages at a time.  So many or fewer, a matrix of 16 MB at
+most, are broadcast; more stay in the shared folder, a file for every `AT_ONCE`, which tasks
+read one after the other with equal results.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path, small_frame
 from ..table import col
-from .frames import ready, renamed, text_of
+from .frames import ready, renamed, text_of, written
 from .text import slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-MOST_LANGUAGES = 1000
+AT_ONCE = 64
 UNKNOWN = "und"
 SLICE = 1 << 18
 
@@ -75,72 +81,111 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bucket, n) over what one task reads; bucket -1 counts texts."""
+    """(lang, bucket, n) over what one task reads; bucket -1 counts texts.
+
+    A task holds the counts of `AT_ONCE` languages and passes them on when there are more.
+    """
     totals: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
+
+    def held() -> Iterator[pa.RecordBatch]:
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * (len(at) + 1)),
+                    pa.array(np.append(at, -1).astype(np.int32)),
+                    pa.array(np.append(total[at], texts[lang])),
+                ],
+                ["lang", "bucket", "n"],
+            )
+        totals.clear()
+        texts.clear()
+
     for batch in slices(batches, "text", SLICE):
         grams, starts, stops, lettered = buckets(batch.column("text"))
-        names = batch.column("lang").to_pylist()
-        for lang in sorted(set(names)):
-            own = np.array([x == lang for x in names]) & lettered
-            steps = np.zeros(len(grams) + 1, dtype=np.int8)
-            steps[starts[own]] = 1
-            steps[stops[own]] = -1
-            inside = np.cumsum(steps[:-1], dtype=np.int8) > 0
+        rows: dict[str, list[int]] = {}
+        for row, lang in enumerate(batch.column("lang").to_pylist()):
+            if lettered[row]:
+                rows.setdefault(lang, []).append(row)
+        for lang, own in rows.items():
+            if lang not in totals and len(totals) == AT_ONCE:
+                yield from held()
+            inside = np.concatenate([np.arange(starts[row], stops[row]) for row in own])
             total = totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
             total += np.bincount(grams[inside].ravel(), minlength=BUCKETS)
-            texts[lang] = texts.get(lang, 0) + int(own.sum())
-        if len(totals) > MOST_LANGUAGES:
-            raise ValueError(f"There are more than {MOST_LANGUAGES} languages.")
-    for lang, total in totals.items():
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * (len(at) + 1)),
-                pa.array(np.append(at, -1).astype(np.int32)),
-                pa.array(np.append(total[at], texts[lang])),
-            ],
-            ["lang", "bucket", "n"],
-        )
+            texts[lang] = texts.get(lang, 0) + len(own)
+    yield from held()
+
+
+LANGUAGE = "lang string, texts long, typical double, weights binary"
+
+
+def language_row(counts: pa.Table) -> pa.Table:
+    """The log-probabilities of one language from its counts."""
+    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
+    seen = np.zeros(BUCKETS)
+    seen[bucket[bucket >= 0]] = n[bucket >= 0]
+    weights = np.log(seen + SMOOTHING) - np.log(seen.sum() + SMOOTHING * BUCKETS)
+    typical = (seen * weights).sum() / max(seen.sum(), 1)
+    return pa.table(
+        {
+            "lang": [counts.column("lang")[0].as_py()],
+            "texts": pa.array([int(n[bucket < 0].sum())], pa.int64()),
+            "typical": pa.array([typical], pa.float64()),
+            "weights": [weights.astype(np.float32).tobytes()],
+        }
+    )
+
+
+def matrix(rows: pa.ChunkedArray) -> np.ndarray:
+    """Buckets x languages from the rows of languages."""
+    blobs = [np.frombuffer(blob, np.float32) for blob in rows.to_pylist()]
+    return np.stack(blobs, axis=1) if blobs else np.zeros((BUCKETS, 0), np.float32)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in code point order, log-priors, and log-probabilities by bucket; for each
-    language the mean log-probability of its own n-grams."""
+    """Languages in code point order, log-priors, and for each language the mean
+    log-probability of its own n-grams; log-probabilities by bucket, or the folder of them."""
 
     languages: list[str]
     priors: np.ndarray
-    weights: np.ndarray
     typical: np.ndarray
+    weights: np.ndarray | None
+    folder: str | None = None
 
     @classmethod
     def learn(cls, labelled: DataFrame, text_column: str = "text", lang_column: str = "lang") -> "Model":
         """From every row with a language; texts without letters teach nothing."""
-        ready(labelled.sparkSession)
+        spark = ready(labelled.sparkSession)
         rows = renamed(labelled, text=text_column, lang=lang_column).where("lang IS NOT NULL")
         counts = rows.select(text_of("text").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(
             count_rows, "lang string, bucket int, n long"
         )
         summed = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        found = summed.toArrow()  # at most MOST_LANGUAGES x (BUCKETS + 1) rows
-        names = found.column("lang").to_pylist()
-        bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-        languages = sorted({x for x, b, k in zip(names, bucket.tolist(), n.tolist()) if b < 0 and k > 0})
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"There are more than {MOST_LANGUAGES} languages.")
-        place = {x: i for i, x in enumerate(languages)}
-        at = np.array([place.get(x, -1) for x in names], dtype=np.int64)
-        table = np.zeros((BUCKETS, len(languages)))
-        gram = (bucket >= 0) & (at >= 0)
-        table[bucket[gram], at[gram]] = n[gram]
-        texts = np.zeros(len(languages))
-        texts[at[(bucket < 0) & (at >= 0)]] = n[(bucket < 0) & (at >= 0)]
-        seen = table
-        table = np.log(seen + SMOOTHING) - np.log(seen.sum(axis=0) + SMOOTHING * BUCKETS)
-        typical = (seen * table).sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
-        priors = np.log(texts / max(texts.sum(), 1))
-        return cls(languages, priors, table.astype(np.float32), typical)
+        made = written(summed.groupBy("lang").applyInArrow(language_row, LANGUAGE), "languages")
+        known = made.select("lang", "texts", "typical").orderBy("lang").collect()  # a name and two numbers each
+        languages = [r["lang"] for r in known]
+        texts = np.array([r["texts"] for r in known], dtype=np.float64)
+        figures = (languages, np.log(texts / max(texts.sum(), 1)), np.array([r["typical"] for r in known]))
+        if len(languages) <= AT_ONCE:
+            return cls(*figures, matrix(made.select("lang", "weights").orderBy("lang").toArrow().column("weights")))
+        places = small_frame(spark, [(name, at) for at, name in enumerate(languages)], "lang string, place int")
+        placed = made.join(places, "lang").select("place", "weights", F.floor(F.col("place") / AT_ONCE).alias("block"))
+        folder = scratch_path(spark, "weights")
+        placed.repartition("block").write.partitionBy("block").parquet(folder)
+        return cls(*figures, None, folder)
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """The log-probabilities of the languages in turn, so many at a time."""
+        if self.weights is not None:
+            yield self.weights
+            return
+        files, root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", self.folder))
+        for block in range(-(-len(self.languages) // AT_ONCE)):
+            rows = pq.read_table(f"{root}/block={block}", columns=["place", "weights"], filesystem=files, partitioning=None)
+            yield matrix(rows.sort_by("place").column("weights"))
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the index of its language, or -1, and the posterior probability."""
@@ -155,17 +200,27 @@ class Model:
         grams, starts, stops, lettered = buckets(texts)
         if not self.languages:
             return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
-        each = self.weights[grams[:, 0]] + self.weights[grams[:, 1]]
-        each += self.weights[grams[:, 2]]
+        count, start = len(starts), 0
+        best, top, total, plain = np.full(count, -1), np.full(count, -np.inf), np.zeros(count), np.zeros(count)
         edges = np.stack([starts, stops], axis=1).ravel()
-        plain = np.add.reduceat(each, edges, axis=0, dtype=np.float64)[::2]
-        sums = plain + self.priors
-        best = sums.argmax(axis=1)
-        share = 1.0 / np.exp(sums - sums[np.arange(len(best)), best][:, None]).sum(axis=1)
-        mean = plain[np.arange(len(best)), best] / (3 * (stops - starts))
+        for weights in self.parts():
+            each = weights[grams[:, 0]] + weights[grams[:, 1]]
+            each += weights[grams[:, 2]]
+            own = np.add.reduceat(each, edges, axis=0, dtype=np.float64)[::2]
+            sums = own + self.priors[start : start + weights.shape[1]]
+            at = sums.argmax(axis=1)
+            value = sums[np.arange(count), at]
+            # Probabilities are summed in units of the likeliest language so far.
+            likelier, before = value > top, top
+            top = np.maximum(top, value)
+            total = total * np.exp(before - top) + np.exp(sums - top[:, None]).sum(axis=1)
+            best = np.where(likelier, start + at, best)
+            plain = np.where(likelier, own[np.arange(count), at], plain)
+            start += weights.shape[1]
+        mean = plain / (3 * (stops - starts))
         even = -np.log(BUCKETS)
         fit = (mean - even) / np.maximum(self.typical[best] - even, 1e-9)
-        return np.where(lettered, best, -1), np.where(lettered, share, 0.0), np.where(lettered, fit, 0.0)
+        return np.where(lettered, best, -1), np.where(lettered, 1.0 / total, 0.0), np.where(lettered, fit, 0.0)
 
 
 def predict_rows(shared, added: list[str]):

@@ -71,6 +71,30 @@ def test_the_pipeline_keeps_clean_documents_and_drops_unseen_scripts_and_junk(sp
     assert kept == {*range(240), 1003, None, 1004}
 
 
+def test_languages_in_files_give_the_same_as_broadcast_ones(spark, monkeypatch):
+    docs = documents(spark).repartition(3)
+    few = language_id.Model.learn(docs)
+    monkeypatch.setattr(language_id, "AT_ONCE", 2)
+    model = language_id.Model.learn(docs)
+    assert model.weights is None and [w.shape[1] for w in model.parts()] == [2, 1]
+    assert model.languages == few.languages and model.priors.tolist() == few.priors.tolist()
+    texts = pa.array([r.text for r in docs.collect()])
+    for one, other in zip(few.fits(texts), model.fits(texts)):
+        assert np.allclose(one, other, rtol=1e-12, atol=0)
+
+
+def test_more_languages_than_fit_at_once(spark):
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(1500)]
+    rows = [(i, f"{w} {w} {w}", f"l{i:04d}", "s", None) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    model = language_id.Model.learn(docs)
+    assert model.weights is None and len(model.languages) == 1500
+    assert max(w.shape[1] for w in model.parts()) == language_id.AT_ONCE
+    found = language_id.predict(docs.where("doc_id % 5 = 0"), model).collect()
+    assert len(found) == 300 and all(r.lang_pred == f"l{r.id:04d}" and 0 < r.score <= 1 for r in found)
+
+
 def test_nothing_learned(spark):
     docs = documents(spark, 9)
     model = language_id.Model.learn(docs.withColumn("lang", F.lit(None).cast("string")))
