@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,8 @@ class JsonSink:
     """Row objects with nulls present, as JSON arrays or as JSON lines.
 
     Every part file is one complete array of at most `rows_per_array` rows, which is a
-    document a JSON source reads, so no file depends on the size of the table.
+    document a JSON source reads, so no file depends on the size of the table.  Spark
+    writes a file for the first partition even without rows; that is an empty array then.
     """
 
     file_name: str = option("text", key="fileName")
@@ -82,7 +84,9 @@ class JsonSink:
         if self.layout == "lines":
             lines.write.mode("errorifexists").text(path)
         else:
-            arrays = lines.mapInArrow(_array_writer(int(self.rows_per_array)), "value string")
+            # One partition more without an object, for a frame that has no partition at all.
+            none = df.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("value"))
+            arrays = lines.union(none).mapInArrow(_array_writer(int(self.rows_per_array)), "value string")
             arrays.write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -98,13 +102,14 @@ def json_object(df: DataFrame) -> F.Column:
 def _array_writer(rows_per_array: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[str] = []
+        full = False
         for batch in batches:
-            for row in batch.column(0).to_pylist():
+            for row in batch.column(0).drop_null().to_pylist():
                 rows.append(row)
                 if len(rows) == rows_per_array:
                     yield packed(rows)
-                    rows = []
-        if rows:
+                    rows, full = [], True
+        if rows or not full and TaskContext.get().partitionId() == 0:
             yield packed(rows)
 
     def packed(rows: list[str]) -> pa.RecordBatch:

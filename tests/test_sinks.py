@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from millrace import DataError, DeduplicateRows, Documents, SchemaError, SortRows, Table
+from millrace import DataError, DeduplicateRows, Documents, FlattenDocument, SchemaError, SortRows, Table
 from millrace.functions.positions import numbered
 from millrace.operators.rows import LimitRows
 from millrace.sinks import storage
@@ -12,6 +14,8 @@ from millrace.sinks.datasets import DatasetStore, Lifecycle
 from millrace.sinks.files import CsvSink, JsonSink, ParquetSink
 from millrace.sinks.relational import FolderTarget, JdbcTarget, RelationalSink, stage_name, statements
 from millrace.sources.delimited import DelimitedSource
+from millrace.sources.documents import JsonSource
+from workloads import QUERIES
 
 RUN = Lifecycle("pipe", "run1")
 
@@ -60,6 +64,55 @@ def test_json_lines_and_arrays(spark, scratch):
     assert [r for a in arrays for r in a] == want
 
 
+@pytest.fixture
+def late_rows(spark, scratch):
+    """A folder of one table, a file of one row group whose first splits offer no rows."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def written(df, table):
+        df.coalesce(1).write.parquet(f"{scratch}/written")
+        file = next(f for f in os.listdir(f"{scratch}/written") if f.endswith(".parquet"))
+        os.makedirs(f"{scratch}/tables")
+        os.rename(f"{scratch}/written/{file}", f"{scratch}/tables/{table}.parquet")
+        size = os.path.getsize(f"{scratch}/tables/{table}.parquet")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size // 8 + 1)
+        back = spark.read.parquet(f"{scratch}/tables/{table}.parquet")
+        assert back.select(F.spark_partition_id().alias("split")).agg(F.min("split")).first()[0] > 0
+        return f"{scratch}/tables"
+
+    yield written
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_documents_of_a_table_whose_first_partition_is_empty(spark, late_rows):
+    said = "IF(id % 3 = 0, 'system', 'user') AS role"
+    folder = late_rows(spark.range(5000).selectExpr("id AS conv_id", "id % 7 AS turn", said), "conversations")
+    found = QUERIES["pipe_documents"].run(spark, folder)
+    assert sorted(map(tuple, found.collect())) == [(i, i % 7, "user") for i in range(5000) if i % 3]
+
+
+def test_json_arrays_of_partitions_without_rows(spark, scratch):
+    df = spark.range(0, 6, 1, 3)
+    JsonSink("a.json", rows_per_array=2).write(Table.of(df.where("id > 1")), f"{scratch}/late")
+    arrays = [json.loads(x) for x in text(f"{scratch}/late", spark)]
+    assert arrays == [[], [{"id": 2}, {"id": 3}], [{"id": 4}, {"id": 5}]]
+    assert rows(FlattenDocument()(JsonSource("late")(spark, scratch))) == [(i,) for i in range(2, 6)]
+    nothing = spark.range(0)
+    assert nothing.rdd.getNumPartitions() == 0
+    for name, empty in (("none", df.where("id < 0")), ("nothing", nothing)):
+        JsonSink("a.json").write(Table.of(empty), f"{scratch}/{name}")
+        assert [json.loads(x) for x in text(f"{scratch}/{name}", spark)] == [[]]
+        assert FlattenDocument()(JsonSource(name)(spark, scratch)).df.count() == 0
+
+
+def test_json_arrays_keep_a_sort(spark, scratch):
+    df = spark.range(0, 10_000).repartition(7).selectExpr("id", "id % 10 AS k")
+    table = SortRows([{"column": "k", "descending": True}])(Table.of(df, ["id"]))
+    JsonSink("a.json", rows_per_array=900).write(table, f"{scratch}/a")
+    found = [r["id"] for x in text(f"{scratch}/a", spark) for r in json.loads(x)]
+    assert found == sorted(range(10_000), key=lambda i: (-(i % 10), i))
+
+
 def test_json_keeps_microseconds(spark, scratch):
     moment = "2024-01-02 03:04:05.000006"
     df = spark.sql(f"SELECT TIMESTAMP_NTZ'{moment}' AS plain, TIMESTAMP'{moment}' AS zoned")
