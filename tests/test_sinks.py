@@ -91,6 +91,13 @@ def test_documents_of_a_table_whose_first_partition_is_empty(spark, late_rows):
     assert sorted(map(tuple, found.collect())) == [(i, i % 7, "user") for i in range(5000) if i % 3]
 
 
+def test_arrays_of_orders_whose_first_partition_is_empty(spark, late_rows):
+    columns = ("id AS o_orderkey", "id % 9 AS o_custkey", "'O' AS o_orderstatus", "id / 4 AS o_totalprice")
+    folder = late_rows(spark.range(5000).selectExpr(*columns), "orders")
+    found = QUERIES["src_json_docs"].run(spark, folder)
+    assert sorted(map(tuple, found.collect())) == [(i, i % 9, "O", i / 4) for i in range(5000)]
+
+
 def test_json_arrays_of_partitions_without_rows(spark, scratch):
     df = spark.range(0, 6, 1, 3)
     JsonSink("a.json", rows_per_array=2).write(Table.of(df.where("id > 1")), f"{scratch}/late")
