@@ -14,7 +14,9 @@ of every set with the path so far, shared by all sets below it, and drops sets t
 no longer reach the threshold with the shingles remaining.
 
 A part that is empty proves nothing; sets with as many empty parts as there are sure
-equal ones take part with their prefix shingles as well, so no link is lost.  A unit of
+equal ones take part with their prefix shingles as well, so no link is lost.  How many are
+sure follows from the set's own size; where they are several, that many less one are left
+out, those with the fewest shingles, which unlike texts with a common line share.  A unit of
 more than `UNIT_TOKENS` shingles is cut in blocks, and every pair of blocks is a task.
 """
 
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +72,18 @@ def outline_counts(outline: bytes) -> np.ndarray:
     return np.column_stack([pairs & 15, pairs >> 4]).ravel().astype(np.int32)
 
 
+def fullest(text: np.ndarray, fill: np.ndarray, filled: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places of the `most` parts of each text with the most shingles, the lower numbered first.
+
+    Parts come by text, then number; `filled` counts them.  The order is one order of all
+    parts, so of s parts that two texts have in common the first is kept by each that
+    leaves out less than s.
+    """
+    order = np.argsort(text << np.int64(32) | (np.int64(1 << 31) - fill), kind="stable")
+    place = np.arange(len(text)) - np.repeat(np.cumsum(filled) - filled, filled)
+    return np.sort(order[place < most[text]])
+
+
 class Sets:
     """The sorted distinct shingle hashes of several texts."""
 
@@ -125,8 +140,9 @@ class Sets:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.values))])
         keys, texts = [], []
         needs_prefix = np.zeros(len(sizes), dtype=bool)
+        differing = most_differing(sizes + largest, percent)
         # Sets this small are linked with equal sets only, which are one set already.
-        open_sets = (sizes > 0) & (most_differing(sizes + largest, percent) > 0)
+        open_sets = (sizes > 0) & (differing > 0)
         # The larger set of a pair decides on the parts; it may be as large as `largest`.
         least = np.searchsorted(allowed, most_differing(2 * sizes, percent))
         most = np.searchsorted(allowed, most_differing(2 * largest, percent))
@@ -142,11 +158,13 @@ class Sets:
             end = np.append(begin[1:], len(at))
             content = sums[at[end - 1] + 1] - sums[at[begin]]
             name = mix(parts[text[begin]].astype(np.uint64) << np.uint64(32) | part[begin])
-            keys.append(mix(content ^ name))
-            texts.append(text[begin])
             filled = np.bincount(text[begin], minlength=len(sizes))
-            sure = parts - allowed[least + step]
-            needs_prefix |= chosen & (parts - filled >= sure)
+            # Equal parts with shingles: with any linked set there are as many at least.
+            sure = filled - np.minimum(allowed[least + step], differing)
+            needs_prefix |= chosen & (sure <= 0)
+            kept = fullest(text[begin], end - begin, filled, np.where(chosen, filled - np.maximum(sure - 1, 0), 0))
+            keys.append(mix(content ^ name)[kept])
+            texts.append(text[begin][kept])
         if needs_prefix.any():
             length = sizes - -(-sizes * percent // 100) + 1
             place = np.arange(len(self.values)) - first[self.text]
@@ -172,14 +190,17 @@ def signature_rows(words: int):
 
 ASKED, SHARED, KNOWN = range(3)
 KEY_BYTES = 6
+LOW_BYTES = np.uint64((1 << 8 * KEY_BYTES) - 1)
 LEAST_RANGES = 64  # so that a set's rows do not grow with the partitions of small clusters
 
 
 def candidate_rows(words: int, percent: int, ranges: int):
-    """Rows (range, set, kind, keys): the keys of each set, batched by key range, each once a slice.
+    """Rows (range, kind, sets, counts, keys): the sets of a slice with keys in a range, how many
+    each has, and these in a row, each once a slice.
 
-    Of the sets of a slice that share a key one asks for it, marked as shared; that the
-    others share it is known, so a key of very many sets is one row a slice.
+    There is one row a slice, range and kind, so rows do not grow with the sets' keys.  Of
+    the sets of a slice that share a key one asks for it, marked as shared; that the others
+    share it is known, so a key of very many sets is asked for once a slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,51 +221,65 @@ def candidate_rows(words: int, percent: int, ranges: int):
             keys, texts, again = keys[fresh], texts[fresh], again[fresh]
             kind = np.where(again, KNOWN, ASKED)
             kind[np.flatnonzero(again[1:] & ~again[:-1])] = SHARED
+            own = nodes[texts]
+            # Known keys go where their set is dealt, not all to the range of a common key.
             part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.lexsort((kind, texts, part))
-            keys, texts, kind, part = (x[order] for x in (keys, texts, kind, part))
-            begin = np.flatnonzero(
-                np.append(True, (part[1:] != part[:-1]) | (texts[1:] != texts[:-1]) | (kind[1:] != kind[:-1]))
-            )
-            edges = np.append(begin, len(keys))
-            sent = keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].ravel()
-            own = nodes[texts[begin]]
-            # Known rows go where their set is dealt, not all to the range of a common key.
-            to = np.where(kind[begin] == KNOWN, own.view(np.uint64) % np.uint64(ranges), part[begin])
+            to = np.where(kind == KNOWN, own.view(np.uint64) % np.uint64(ranges), part).astype(np.int64)
+            # The range takes the place of the upper bytes; rows that go to it leave it out.
+            keys = keys & LOW_BYTES | part << np.uint64(8 * KEY_BYTES)
+            order = np.lexsort((texts, kind, to))
+            keys, texts, own, to, kind = (x[order] for x in (keys, texts, own, to, kind))
+            apart = np.append(True, (to[1:] != to[:-1]) | (kind[1:] != kind[:-1]))
+            row = np.flatnonzero(apart)
+            begin = np.flatnonzero(apart | np.append(True, texts[1:] != texts[:-1]))
+            counts = np.diff(np.append(begin, len(keys))).astype(np.int32)
+            edges = np.append(np.searchsorted(begin, row), len(begin))
+            sent = keys.view(np.uint8).reshape(-1, 8)
+            whole = np.repeat(kind == KNOWN, 8).reshape(-1, 8)
+            whole[:, :KEY_BYTES] = True
+            ends = np.concatenate([[0], np.cumsum(np.where(kind == KNOWN, 8, KEY_BYTES))])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(to.astype(np.int32)), pa.array(part[begin].astype(np.int32)), pa.array(own),
-                    pa.array(kind[begin].astype(np.int8)), blobs(sent, edges * KEY_BYTES),
+                    pa.array(to[row].astype(np.int32)), pa.array(kind[row].astype(np.int8)),
+                    blobs(own[begin].view(np.uint8), edges * 8), blobs(counts.view(np.uint8), edges * 4),
+                    blobs(sent[whole], ends[np.append(row, len(keys))]),
                 ],
-                ["to", "part", "set", "kind", "keys"],
+                ["to", "kind", "sets", "counts", "keys"],
             )
 
     return run
 
 
-CANDIDATES = "to int, part int, set long, kind byte, keys binary"
+CANDIDATES = "to int, kind byte, sets binary, counts binary, keys binary"
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, set) of the keys that more than one set has, from the rows of whole ranges."""
+
+    def joined(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
+
     for table in groups(batches, "to"):
-        packed = table.column("keys").to_pylist()
-        counts = np.array([len(k) // KEY_BYTES for k in packed])
-        padded = np.zeros((counts.sum(), 8), dtype=np.uint8)
-        padded[:, :KEY_BYTES] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, KEY_BYTES)
-        part, owner, kind = (np.repeat(table.column(c).to_numpy(), counts) for c in ("part", "set", "kind"))
-        keys = padded.view(np.uint64).ravel() | part.astype(np.uint64) << np.uint64(8 * KEY_BYTES)
-        known = kind == KNOWN
-        order = np.lexsort((owner[~known], keys[~known]))
-        asked, asking, marked = keys[~known][order], owner[~known][order], (kind[~known] == SHARED)[order]
+        of_known = pa.array(table.column("kind").to_numpy() == KNOWN)
+        known, rows = table.filter(of_known), table.filter(pc.invert(of_known))
+        knowing = np.repeat(joined(known, "sets", np.int64), joined(known, "counts", np.int32))
+        sent = joined(rows, "keys", np.uint8).reshape(-1, KEY_BYTES)
+        padded = np.zeros((len(sent), 8), dtype=np.uint8)
+        padded[:, :KEY_BYTES] = sent
+        sizes = pc.binary_length(rows.column("keys")).to_numpy() // KEY_BYTES
+        part, kind = (np.repeat(rows.column(c).to_numpy(), sizes) for c in ("to", "kind"))
+        asked = padded.view(np.uint64).ravel() | part.astype(np.uint64) << np.uint64(8 * KEY_BYTES)
+        asking = np.repeat(joined(rows, "sets", np.int64), joined(rows, "counts", np.int32))
+        order = np.lexsort((asking, asked))
+        asked, asking, marked = asked[order], asking[order], (kind == SHARED)[order]
         fresh = np.append(True, asked[1:] != asked[:-1])[: len(asked)]
         group = np.cumsum(fresh) - 1
         other = np.append(False, (asking[1:] != asking[:-1]) & ~fresh[1:])[: len(asked)]
         found = (np.bincount(group, marked | other) > 0)[group] if len(group) else fresh
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([asked[found], keys[known]]).view(np.int64)),
-                pa.array(np.concatenate([asking[found], owner[known]])),
+                pa.array(np.concatenate([asked[found], joined(known, "keys", np.uint64)]).view(np.int64)),
+                pa.array(np.concatenate([asking[found], knowing])),
             ],
             ["key", "set"],
         )

@@ -164,6 +164,47 @@ def test_outlines_lose_no_copy_with_words_appended(percent):
                 assert ngram_join.alike_outlines(sets.sizes, rows, None, percent).tolist() == [0, 0], (low, high)
 
 
+def in_one_task(run, batches):
+    """What a function of Arrow batches gives for rows of all tasks, sorted by `to`."""
+    table = pa.Table.from_batches(batches).sort_by("to")
+    return [r for batch in run(iter(table.to_batches())) for r in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("ranges", [64, 2000])
+def test_rows_of_keys_do_not_grow_with_the_keys_of_a_set(ranges):
+    """A slice sends a row a range and kind at most, and the keys of several sets come back."""
+    draw = random.Random(3)
+    base = [[f"w{draw.random()}" for _ in range(400)] for _ in range(40)]
+    copies = [b[:at] + ["z"] + b[at:] for b in base for at in (100, 200, 300)]
+    texts = [" ".join(x) for x in base + copies]
+    slices = [pa.RecordBatch.from_arrays([pa.array(texts[i::3])], ["text"]) for i in range(3)]
+    sent = [b for x in slices for b in ngram_join.candidate_rows(5, 80, ranges)(iter([x]))]
+    assert len(sent) == 3 and all(b.num_rows <= 3 * ranges for b in sent)
+    sets = ngram_join.Sets(pa.array(texts), 5)
+    keys, owner = sets.keys(80)
+    having = {}
+    for key, i in zip(keys.tolist(), owner.tolist()):
+        having.setdefault(key, set()).add(int(sets.ids()[i]))
+    want = sorted(sorted(x) for x in having.values() if len(x) > 1)
+    got = {}
+    for row in in_one_task(ngram_join.shared_keys, sent):
+        got.setdefault(row["key"], set()).add(row["set"])
+    assert sorted(sorted(x) for x in got.values()) == want and len(want) > 1000
+
+
+def test_a_common_line_makes_no_candidates():
+    """Texts of all sizes that have one line in common, and little else."""
+    draw = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(9))
+    texts = [" ".join([line, *(f"w{draw.random()}" for _ in range(size))]) for size in range(50, 1500, 5)]
+    sets = ngram_join.Sets(pa.array(texts), 5)
+    keys, owner = sets.keys(80)
+    pairs = np.unique(np.stack([keys, owner.astype(np.uint64)]), axis=1)
+    _, m = np.unique(pairs[0], return_counts=True)
+    # Single shingles of the line as keys would be 383 here, and grow with the texts.
+    assert m[m > 1].sum() < 100
+
+
 def test_sparse_parts_use_prefixes():
     """Sets whose hashes leave parts empty are still candidates of one another."""
     sets = ngram_join.Sets(pa.array(["x"]), 3)
