@@ -427,11 +427,17 @@ def alike_outlines(sizes: np.ndarray, rows: list[np.ndarray], sides: np.ndarray
         table = np.stack(wide)
         for i in range(start, stop):
             last = start + int(np.searchsorted(sizes[start:top], sizes[i] * 100 // percent, side="right"))
-            differing = np.abs(table[i + 1 - start : last - start] - table[i - start]).sum(axis=1)
-            near = differing <= most_differing(sizes[i] + sizes[i + 1 : last], percent)
+            # Sets already connected are not compared: a group of near copies takes few rounds.
+            apart = label[i + 1 : last] != label[i]
             if sides is not None:
-                near &= sides[i + 1 : last] != sides[i]
-            meet = np.unique(np.append(label[i + 1 : last][near], label[i]))
+                apart &= sides[i + 1 : last] != sides[i]
+            others = i + 1 + np.flatnonzero(apart)
+            if not len(others):
+                continue
+            rows_of_others = table[i + 1 - start : last - start] if apart.all() else table[others - start]
+            differing = np.abs(rows_of_others - table[i - start]).sum(axis=1)
+            near = differing <= most_differing(sizes[i] + sizes[others], percent)
+            meet = np.unique(np.append(label[others][near], label[i]))
             if len(meet) > 1:
                 label[np.isin(label, meet)] = meet[0]
     return label

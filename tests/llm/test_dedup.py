@@ -164,6 +164,30 @@ def test_outlines_lose_no_copy_with_words_appended(percent):
                 assert ngram_join.alike_outlines(sets.sizes, rows, None, percent).tolist() == [0, 0], (low, high)
 
 
+@pytest.mark.parametrize("cross", [False, True])
+def test_outlines_connect_what_all_pairs_connect(cross):
+    draw = random.Random(9)
+    texts = []
+    for size in (5, 12, 60, 70, 130, 140):
+        base = [f"w{draw.random()}" for _ in range(size)]
+        texts += [" ".join(w if draw.random() < 0.97 else f"n{draw.random()}" for w in base) for _ in range(12)]
+    sets = ngram_join.Sets(pa.array(sorted(texts, key=lambda x: x.count(" "))), 3)
+    rows = [ngram_join.outline_counts(x) for x in sets.outlines().to_pylist()]
+    order = np.argsort(sets.sizes, kind="stable")
+    sizes, rows = sets.sizes[order], [rows[i] for i in order]
+    sides = np.array([draw.randrange(2) for _ in rows]) if cross else None
+    label = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if (cross and sides[i] == sides[j]) or sizes[j] > sizes[i] * 100 // 80:
+                continue
+            pair = np.array([sizes[i], sizes[j]])
+            if ngram_join.alike_outlines(pair, [rows[i], rows[j]], None, 80).tolist() == [0, 0]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert ngram_join.alike_outlines(sizes, rows, sides, 80).tolist() == label
+    assert 3 < len(set(label)) < len(label) - 20
+
+
 def in_one_task(run, batches):
     """What a function of Arrow batches gives for rows of all tasks, sorted by `to`."""
     table = pa.Table.from_batches(batches).sort_by("to")
